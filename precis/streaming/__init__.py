@@ -1,0 +1,5 @@
+"""No streaming operators: all work is on finite tables.
+
+The row-local operators (cleaning, sentence splitting, scoring with a fitted model) take a streaming
+``DataFrame`` as they are.
+"""
