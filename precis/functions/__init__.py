@@ -1 +1,11 @@
-"""Column expressions and the two Arrow UDFs."""
+"""Column expressions and the Arrow UDFs.
+
+The UDF modules are pickled by value, so Python workers need no copy of this package.
+"""
+
+from pyspark import cloudpickle
+
+from precis.functions import lcs, stemming
+
+for _module in (lcs, stemming):
+    cloudpickle.register_pickle_by_value(_module)

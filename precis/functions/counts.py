@@ -9,6 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from precis.functions.text import let
+
+
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token array, in term order."""
+    return let(
+        F.array_sort(tokens), lambda ts: let(run_starts(ts), lambda starts: runs_to_counts(ts, starts))
+    )
+
 
 def run_starts(sorted_tokens: Column) -> Column:
     """1-based positions at which a new token begins in a sorted array."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -117,7 +117,6 @@ def _final_e(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
-@lru_cache(maxsize=500_000)
 def stem(word: str) -> str:
     """Stem of one lower-case token; tokens of up to three letters stay as they are."""
     if len(word) <= 3:
@@ -131,15 +130,25 @@ def stem(word: str) -> str:
     return word
 
 
-def _stem_line(line: str) -> str:
-    return " ".join(map(stem, line.split(" ")))
+class _Stems(dict):
+    """Remembers the stem of every word a task has met."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = stem(word)
+        return self[word]
 
 
 @F.pandas_udf("string")
-def stem_text(text: pd.Series) -> pd.Series:
+def stem_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem space-separated tokens; lines stay separate.
 
-    Stems are remembered per Python worker, so each worker stems a word once, and unlike a join
-    with a stemmed vocabulary this moves no tokens between executors.
+    A task stems each word once, and unlike a join with a stemmed vocabulary this moves no tokens
+    between executors.
     """
-    return text.map(lambda t: "\n".join(map(_stem_line, t.split("\n"))), na_action="ignore")
+    stems = _Stems()
+
+    def line(tokens: str) -> str:
+        return " ".join([stems[t] for t in tokens.split(" ")])
+
+    for texts in batches:
+        yield texts.map(lambda t: "\n".join(map(line, t.split("\n"))), na_action="ignore")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ _BREAK = "\u0001"  # marks a sentence boundary while a text is being cut
 _KEPT_DOT = "\u0002"  # stands for the full stop of an abbreviation
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it.
+
+    Neighbouring projections are merged by the optimizer, which can put a costly expression inside a
+    per-element lambda; a lambda variable cannot be inlined.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -42,20 +53,23 @@ def clean_transcript(text: Column) -> Column:
 
 def words(clean: Column) -> Column:
     """Whitespace tokens of an already collapsed text; ``''`` has none."""
-    return F.when(clean == "", _empty_strings()).otherwise(F.split(clean, " "))
+    return let(clean, lambda c: F.when(c == "", _empty_strings()).otherwise(F.split(c, " ")))
 
 
 def token_count(clean: Column) -> Column:
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    # Spaces plus one; no array is built.
+    spaces = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
+    return F.when(clean == "", F.lit(0)).otherwise(spaces + 1)
 
 
 def word_sections(tokens: Column, size: int = fixed.SECTION_WORDS) -> Column:
     """Cut a word array into runs of ``size`` words; the last one may be short."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.size(tokens), F.lit(size)),
-        lambda start: F.array_join(F.slice(tokens, start, F.lit(size)), " "),
-    )
-    return F.when(F.size(tokens) > 0, cut).otherwise(_empty_strings())
+    def cut(ts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(ts), F.lit(size))
+        runs = F.transform(starts, lambda s: F.array_join(F.slice(ts, s, F.lit(size)), " "))
+        return F.when(F.size(ts) > 0, runs).otherwise(_empty_strings())
+
+    return let(tokens, cut)
 
 
 def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
@@ -88,15 +102,24 @@ def merge_short(sentences: Column, min_chars: int = fixed.MIN_SENTENCE_CHARS) ->
     Whether a sentence opens a new group depends on that sentence alone, so one join with two kinds
     of separators and one split do the whole fold in linear time.
     """
-    glued = F.transform(
-        sentences,
-        lambda s, i: F.when(i == 0, s)
-        .when(F.length(s) >= min_chars, F.concat(F.lit(_BREAK), s))
-        .otherwise(F.concat(F.lit(" "), s)),
-    )
-    return F.when(F.size(sentences) > 0, F.split(F.array_join(glued, ""), _BREAK)).otherwise(
-        _empty_strings()
-    )
+    def merged(parts: Column) -> Column:
+        glued = F.transform(
+            parts,
+            lambda s, i: F.when(i == 0, s)
+            .when(F.length(s) >= min_chars, F.concat(F.lit(_BREAK), s))
+            .otherwise(F.concat(F.lit(" "), s)),
+        )
+        joined = F.split(F.array_join(glued, ""), _BREAK)
+        return F.when(F.size(parts) > 0, joined).otherwise(_empty_strings())
+
+    return let(sentences, merged)
+
+
+def lecture_sentences(clean: Column, min_chars: int = fixed.MIN_SENTENCE_CHARS) -> Column:
+    """Sentences of a cleaned transcript: split, fall back to commas, merge short ones."""
+    fallback = split_sentences(add_fallback_stops(clean))
+    parts = let(split_sentences(clean), lambda p: F.when(F.size(p) <= 1, fallback).otherwise(p))
+    return merge_short(parts, min_chars)
 
 
 def rouge_text(text: Column) -> Column:
@@ -113,13 +136,16 @@ def feature_tokens(text: Column, stop_words: list[str]) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), n - 1),
-        F.slice(tokens, F.lit(2), n - 1),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.when(n > 1, pairs).otherwise(_empty_strings())
+    def pairs(ts: Column) -> Column:
+        n = F.size(ts)
+        joined = F.zip_with(
+            F.slice(ts, F.lit(1), n - 1),
+            F.slice(ts, F.lit(2), n - 1),
+            lambda a, b: F.concat_ws(" ", a, b),
+        )
+        return F.when(n > 1, joined).otherwise(_empty_strings())
+
+    return let(tokens, pairs)
 
 
 def feature_terms(text: Column, stop_words: list[str], max_n: int = 1) -> Column:
@@ -128,7 +154,7 @@ def feature_terms(text: Column, stop_words: list[str], max_n: int = 1) -> Column
     if max_n == 1:
         return tokens
     if max_n == 2:
-        return F.concat(tokens, bigrams(tokens))
+        return let(tokens, lambda ts: F.concat(ts, bigrams(ts)))
     raise ValueError(f"max_n must be 1 or 2, not {max_n}")
 
 

@@ -19,12 +19,8 @@ def with_term_counts(
     df: DataFrame, column: str, stop_words: list[str], max_n: int = 1, name: str = "terms"
 ) -> DataFrame:
     """Add the ``array<struct<term, tf>>`` of a text column."""
-    return (
-        df.withColumn("_sorted", F.array_sort(text.feature_terms(F.col(column), stop_words, max_n)))
-        .withColumn("_starts", counts.run_starts(F.col("_sorted")))
-        .withColumn(name, counts.runs_to_counts(F.col("_sorted"), F.col("_starts")))
-        .drop("_sorted", "_starts")
-    )
+    terms = text.feature_terms(F.col(column), stop_words, max_n)
+    return df.withColumn(name, counts.term_counts(terms))
 
 
 def term_rows(df: DataFrame, *carry: str, terms: str = "terms") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
+from precis.functions import counts, text
 from precis.operators import features, ranking, rouge, sentences
 
 SUMMARY_ROW = -1  # sentence_id of the row that holds the summary of a document
@@ -39,9 +40,9 @@ def label_by_overlap(
 
 def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame:
     """Each sentence, and the summary as row -1, with its term counts and those of the summary."""
-    with_summary = features.with_term_counts(
-        documents, "summary", stop_words, max_n, name="_summary_terms"
-    )
+    # A column of its own, so that it is made per document and not per exploded sentence.
+    of_summary = counts.term_counts(text.feature_terms(F.col("summary"), stop_words, max_n))
+    with_summary = documents.withColumn("_summary_tf", F.map_from_entries(of_summary))
     numbered = F.transform(
         "sentences", lambda s, i: F.struct(i.alias("sentence_id"), s.alias("unit"))
     )
@@ -49,7 +50,7 @@ def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame
     rows = with_summary.select(
         "doc_id",
         F.size("sentences").alias("n_sentences"),
-        F.map_from_entries("_summary_terms").alias("_summary_tf"),
+        "_summary_tf",
         F.explode(F.concat(numbered, F.array(summary))).alias("_u"),
     ).select("doc_id", "n_sentences", "_summary_tf", "_u.*")
     return features.with_term_counts(rows, "unit", stop_words, max_n)

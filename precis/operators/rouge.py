@@ -24,17 +24,17 @@ def prf(overlap: Column, n_candidate: Column, n_reference: Column) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), f.alias("f"))
 
 
-def _ngram_columns(df: DataFrame, side: str, n: int) -> DataFrame:
-    """Add the numbered n-grams of ``_<side>`` and their count, step by step so each runs once."""
-    grams, starts, bag = f"_{side}_grams", f"_{side}_starts", f"_{side}_{n}"
-    tokens = text.words(F.col(f"_{side}"))
-    return (
-        df.withColumn(grams, F.array_sort(text.bigrams(tokens) if n == 2 else tokens))
-        .withColumn(starts, counts.run_starts(F.col(grams)))
-        .withColumn(
-            bag, counts.numbered(counts.runs_to_counts(F.col(grams), F.col(starts)))
-        )
-        .drop(grams, starts)
+def _bag(tokens: Column, n: int) -> Column:
+    """Numbered n-grams of space-separated tokens."""
+    words = text.words(tokens)
+    return counts.numbered(counts.term_counts(text.bigrams(words) if n == 2 else words))
+
+
+def _bag_scores(bags: Column) -> Column:
+    overlap = F.size(F.array_intersect(bags["r"], bags["c"]))
+    return text.let(
+        F.struct(overlap.alias("o"), F.size(bags["c"]).alias("c"), F.size(bags["r"]).alias("r")),
+        lambda n: prf(n["o"], n["c"], n["r"]),
     )
 
 
@@ -56,9 +56,8 @@ def score_pairs(
     df = tokenized(df, reference, "_r", stem)
     for metric, n in (("rouge1", 1), ("rouge2", 2)):
         if metric in metrics:
-            df = _ngram_columns(_ngram_columns(df, "c", n), "r", n)
-            overlap = F.size(F.array_intersect(f"_r_{n}", f"_c_{n}"))
-            df = df.withColumn(metric, prf(overlap, F.size(f"_c_{n}"), F.size(f"_r_{n}")))
+            bags = F.struct(_bag(F.col("_c"), n).alias("c"), _bag(F.col("_r"), n).alias("r"))
+            df = df.withColumn(metric, text.let(bags, _bag_scores))
     if "rougeL" in metrics:
         df = df.withColumn("_lcs", lcs.lcs_text("_c", "_r"))
         lengths = [text.token_count(F.col(c)) for c in ("_c", "_r")]
@@ -104,16 +103,17 @@ def sentence_overlap(documents: DataFrame, stem: bool = True) -> DataFrame:
     The sentences of a document travel to Python as lines of one string together with the summary,
     whose tokens are therefore prepared once per document rather than once per sentence.
     """
-    lines = F.array_join(F.transform("sentences", text.rouge_text), "\n")
-    reference = text.rouge_text(F.col("summary"))
+    df = documents.withColumn("_lines", F.transform("sentences", text.rouge_text)).withColumn(
+        "_summary", text.rouge_text(F.col("summary"))
+    )
+    lines, reference = F.array_join("_lines", "\n"), F.col("_summary")
     if stem:
         lines, reference = stemming.stem_text(lines), stemming.stem_text(reference)
-    n_tokens = F.transform("sentences", lambda s: text.token_count(text.rouge_text(s)))
-    df = documents.select(
-        "*",
+    df = df.select(
+        *documents.columns,
         lcs.lcs_lines(lines, reference).alias("_lcs"),
-        n_tokens.alias("_n"),
-        text.token_count(text.rouge_text(F.col("summary"))).alias("_m"),
+        F.transform("_lines", text.token_count).alias("_n"),
+        text.token_count(F.col("_summary")).alias("_m"),
     )
     scores = F.zip_with("_lcs", "_n", lambda hit, n: prf(hit, n, F.col("_m"))["f"])
     return df.withColumn("scores", scores).drop("_lcs", "_n", "_m")

@@ -12,14 +12,12 @@ from precis.functions import text
 def plain_sentences(
     df: DataFrame, column: str = "document", cap: int | None = None, name: str = "sentences"
 ) -> DataFrame:
-    """Sentences of the raw text; documents without any are dropped.
+    """Add the sentences of the raw text; a text without any has an empty array and yields no rows.
 
     ``cap`` keeps the first ``cap`` sentences of a document, as a training set may ask for.
     """
     found = text.split_sentences(F.col(column))
-    if cap is not None:
-        found = F.slice(found, 1, cap)
-    return df.withColumn(name, found).where(F.size(name) > 0)
+    return df.withColumn(name, found if cap is None else F.slice(found, 1, cap))
 
 
 def lecture_sentences(
@@ -28,17 +26,8 @@ def lecture_sentences(
     min_chars: int = fixed.MIN_SENTENCE_CHARS,
     name: str = "sentences",
 ) -> DataFrame:
-    """Sentences of a cleaned transcript: split, fall back to commas, merge short ones.
-
-    The steps are separate columns so that the split runs once for the test and for the result.
-    """
-    fallback = text.split_sentences(text.add_fallback_stops(F.col(column)))
-    return (
-        df.withColumn(name, text.split_sentences(F.col(column)))
-        .withColumn(name, F.when(F.size(name) <= 1, fallback).otherwise(F.col(name)))
-        .withColumn(name, text.merge_short(F.col(name), min_chars))
-        .where(F.size(name) > 0)
-    )
+    """Add the sentences of a cleaned transcript: split, fall back to commas, merge short ones."""
+    return df.withColumn(name, text.lecture_sentences(F.col(column), min_chars))
 
 
 def sentence_rows(df: DataFrame, *carry: str, name: str = "sentences") -> DataFrame:

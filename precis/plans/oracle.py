@@ -142,7 +142,7 @@ def _lcs(key: str) -> list[str]:
         f"""lcs_tok AS MATERIALIZED (
             SELECT {key}, {_rouge_tokens('reference')} AS r, {_rouge_tokens('candidate')} AS c FROM lcs_in)""",
         f"""ref_tok AS (
-            SELECT {key}, t, bit_or(1::UHUGEINT << (i - 1)::INTEGER) AS mask
+            SELECT {key}, t, bit_or(1::UHUGEINT << (i - 1)::UHUGEINT) AS mask
             FROM (SELECT {key}, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS t FROM lcs_tok)
             GROUP BY {key}, t)""",
         f"cand_tok AS (SELECT {key}, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS t FROM lcs_tok)",
@@ -150,7 +150,7 @@ def _lcs(key: str) -> list[str]:
             SELECT {key}, list(mask ORDER BY i) AS masks FROM cand_tok JOIN ref_tok USING ({key}, t)
             GROUP BY {key})""",
         f"""lcs_bits AS (
-            SELECT {key}, len(r) AS m, len(c) AS n, masks, (1::UHUGEINT << len(r)::INTEGER) - 1 AS full_bits
+            SELECT {key}, len(r) AS m, len(c) AS n, masks, (1::UHUGEINT << len(r)::UHUGEINT) - 1 AS full_bits
             FROM lcs_tok LEFT JOIN lcs_masks USING ({key}))""",
         f"""lcs_out AS MATERIALIZED (
             SELECT {key}, m, n, CASE WHEN masks IS NULL THEN 0 ELSE m - bit_count(list_reduce(

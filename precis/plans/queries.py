@@ -290,11 +290,11 @@ def split_by_doc(spark: SparkSession, folder: str) -> DataFrame:
 def split_members(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences per side: documents of the training part, and all others."""
     split = split_by_doc(spark, folder)
-    capped = sentences.plain_sentences(inputs.documents(spark, folder))
-    sizes = capped.select("doc_id", F.size("sentences").alias("n"))
+    split_texts = sentences.plain_sentences(inputs.documents(spark, folder))
+    sizes = split_texts.select("doc_id", F.size("sentences").alias("n"))
     inside = splits.members(sizes, split, "train").withColumn("side", F.lit("train"))
     outside = splits.others(sizes, split, "train").withColumn("side", F.lit("rest"))
-    return inside.unionByName(outside).groupBy("side").agg(
+    return inside.unionByName(outside).where(F.col("n") > 0).groupBy("side").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_sentences")
     )
 
