@@ -15,7 +15,7 @@ from precis.functions.text import let
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of a token array, in term order."""
     return let(
-        F.array_sort(tokens), lambda ts: let(run_starts(ts), lambda starts: runs_to_counts(ts, starts))
+        F.sort_array(tokens), lambda ts: let(run_starts(ts), lambda starts: runs_to_counts(ts, starts))
     )
 
 

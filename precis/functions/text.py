@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
 
-# Unicode whitespace. Java's ``\s`` is ASCII only, so the class is spelled out.
+# Unicode whitespace as a pattern class (Java's ``\s`` is ASCII only) and as characters.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200B))
+) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}_]"
 
 # A full stop after one of these does not end a sentence.
@@ -20,7 +24,6 @@ ABBREVIATIONS = (
 )
 
 _BREAK = "\u0001"  # marks a sentence boundary while a text is being cut
-_KEPT_DOT = "\u0002"  # stands for the full stop of an abbreviation
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,6 +35,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def whole(array: Column) -> Column:
+    """The array as it is, to be exploded.
+
+    For a bare array column the optimizer adds a test for emptiness and pushes it below the
+    projection that makes the array, which is then made twice. An expression gets no such test.
+    """
+    return F.transform(array, lambda x: x)
+
+
 def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -42,7 +54,11 @@ def collapse_space(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACE_CHARS))
+
+
+def is_blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit(NOT_SPACE))
 
 
 def clean_transcript(text: Column) -> Column:
@@ -57,9 +73,7 @@ def words(clean: Column) -> Column:
 
 
 def token_count(clean: Column) -> Column:
-    # Spaces plus one; no array is built.
-    spaces = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
-    return F.when(clean == "", F.lit(0)).otherwise(spaces + 1)
+    return let(clean, lambda c: F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " "))))
 
 
 def word_sections(tokens: Column, size: int = fixed.SECTION_WORDS) -> Column:
@@ -75,18 +89,30 @@ def word_sections(tokens: Column, size: int = fixed.SECTION_WORDS) -> Column:
 def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """Cut after ``.``, ``!`` or ``?`` plus closing quotes or brackets when whitespace follows.
 
-    Sentences are stripped and empty ones dropped. Both marker characters are blanked in the input
-    first, so that a text that happens to hold them is not cut at the wrong place.
+    A piece that ends in an abbreviation is joined to the next one again; only the last characters
+    of each piece are looked at for that. Sentences are stripped and empty ones dropped. The marker
+    is blanked in the input first, so that a text that happens to hold it is not cut there.
     """
-    marked = F.translate(text, _BREAK + _KEPT_DOT, "  ")
+    marked = F.regexp_replace(
+        F.translate(text, _BREAK, " "), rf"""([.!?]["')\]]*)({SPACE}+)""", f"$1{_BREAK}$2"
+    )
+    pieces = F.split(marked, _BREAK)
     if abbreviations:
         names = "|".join(a.replace(".", r"\.") for a in abbreviations)
-        marked = F.regexp_replace(
-            marked, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({names})\.", "$1$2" + _KEPT_DOT
+        pattern = F.lit(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{names})\.$")
+        tail = F.lit(max(map(len, abbreviations)) + 2)
+        goes_on = lambda piece: F.rlike(F.right(piece, tail), pattern)
+        rejoined = lambda ps: F.array_join(
+            F.transform(
+                ps,
+                lambda p, i: F.when((i == 0) | goes_on(F.get(ps, i - 1)), p).otherwise(
+                    F.concat(F.lit(_BREAK), p)
+                ),
+            ),
+            "",
         )
-    marked = F.regexp_replace(marked, rf"""([.!?]["')\]]*){SPACE}+""", "$1" + _BREAK)
-    parts = F.split(F.translate(marked, _KEPT_DOT, "."), _BREAK)
-    return F.filter(F.transform(parts, strip_space), lambda s: s != "")
+        pieces = F.split(let(pieces, rejoined), _BREAK)
+    return F.filter(F.transform(pieces, strip_space), lambda s: s != "")
 
 
 def add_fallback_stops(text: Column) -> Column:

@@ -25,13 +25,13 @@ def with_term_counts(
 
 def term_rows(df: DataFrame, *carry: str, terms: str = "terms") -> DataFrame:
     """Explode the term counts, keeping the ``carry`` columns."""
-    return df.select(*carry, F.explode(terms).alias("_t")).select(*carry, "_t.term", "_t.tf")
+    return df.select(*carry, F.explode(text.whole(F.col(terms))).alias("_t")).select(*carry, "_t.term", "_t.tf")
 
 
 def term_stats(counted: DataFrame, weight: Column | None = None) -> DataFrame:
     """Document frequency and total frequency per term; a row counts ``weight`` times."""
     times = F.lit(1) if weight is None else weight
-    rows = counted.select(times.alias("_w"), F.explode("terms").alias("_t"))
+    rows = counted.select(times.alias("_w"), F.explode(text.whole(F.col("terms"))).alias("_t"))
     return rows.groupBy(F.col("_t.term").alias("term")).agg(
         F.sum("_w").alias("df"), F.sum(F.col("_w") * F.col("_t.tf")).alias("total_tf")
     )

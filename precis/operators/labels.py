@@ -28,9 +28,7 @@ def label_by_overlap(
         "doc_id", "sentences", "scores",
         ranking.top_k_of_array(F.col("scores"), k).alias("_top"),
     )
-    rows = chosen.select(
-        "doc_id", "scores", "_top", F.posexplode("sentences").alias("sentence_id", "sentence")
-    )
+    rows = sentences.sentence_rows(chosen, "scores", "_top")
     return rows.select(
         "doc_id", "sentence_id", "sentence",
         F.get("scores", F.col("sentence_id")).alias("score"),
@@ -133,9 +131,7 @@ def attach_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     positives = labels.where(F.col("label") == 1).groupBy("doc_id").agg(
         F.collect_list("sentence_id").alias("_positives")
     )
-    rows = documents.join(positives, "doc_id").select(
-        "doc_id", "_positives", F.posexplode("sentences").alias("sentence_id", "sentence")
-    )
+    rows = sentences.sentence_rows(documents.join(positives, "doc_id"), "_positives")
     hit = F.array_contains("_positives", F.col("sentence_id")).cast("int")
     return rows.select("doc_id", "sentence_id", "sentence", hit.alias("label"))
 

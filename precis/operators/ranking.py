@@ -17,8 +17,8 @@ def top_k_of_array(scores: Column, k: int) -> Column:
     order = F.transform(
         scores, lambda s, i: F.struct((-F.round(s, RANK_DIGITS)).alias("s"), i.alias("i"))
     )
-    best = F.transform(F.slice(F.array_sort(order), 1, k), lambda x: x["i"])
-    return F.array_sort(best)
+    best = F.transform(F.slice(F.sort_array(order), 1, k), lambda x: x["i"])
+    return F.sort_array(best)
 
 
 def with_top_k(

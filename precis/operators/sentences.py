@@ -32,4 +32,5 @@ def lecture_sentences(
 
 def sentence_rows(df: DataFrame, *carry: str, name: str = "sentences") -> DataFrame:
     """One row per sentence: ``(doc_id, sentence_id, sentence)`` plus the ``carry`` columns."""
-    return df.select("doc_id", *carry, F.posexplode(name).alias("sentence_id", "sentence"))
+    rows = F.posexplode(text.whole(F.col(name))).alias("sentence_id", "sentence")
+    return df.select("doc_id", *carry, rows)

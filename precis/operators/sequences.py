@@ -42,7 +42,7 @@ def to_padded_ids(pairs: DataFrame, vocabulary: DataFrame, column: str, length:
         "doc_id", F.posexplode_outer(F.slice(_word_array(column), 1, length)).alias("pos", "word")
     )
     ids = rows.join(F.broadcast(vocabulary), "word", "left")
-    in_order = F.array_sort(
+    in_order = F.sort_array(
         F.collect_list(F.when(
             F.col("pos").isNotNull(),
             F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")),

@@ -11,8 +11,7 @@ from precis.functions import text
 
 def drop_missing(transcripts: DataFrame) -> DataFrame:
     """Drop null and blank transcripts."""
-    kept = transcripts.dropna(subset=["transcript"])
-    return kept.where(text.collapse_space(F.col("transcript")) != "")
+    return transcripts.dropna(subset=["transcript"]).where(~text.is_blank(F.col("transcript")))
 
 
 def first_of_copies(df: DataFrame, column: str = "transcript", key: str = "doc_id") -> DataFrame:
@@ -37,17 +36,15 @@ def clean(transcripts: DataFrame, min_tokens: int = fixed.MIN_TRANSCRIPT_TOKENS)
     """Cleaned, de-duplicated transcripts of at least ``min_tokens`` words.
 
     Copies are dropped on the raw text, before cleaning, so texts that only become equal by
-    cleaning are all kept. The row-local filters run first: copies of one text share their fate,
-    and fewer rows reach the shuffle.
+    cleaning are all kept, and the passes that look for copies clean nothing.
     """
-    cleaned = text.clean_transcript(F.col("transcript"))
-    long_enough = (
-        drop_missing(transcripts)
-        .withColumn("transcript_clean", cleaned)
-        .withColumn("token_count", text.token_count(F.col("transcript_clean")))
-        .where(F.col("token_count") >= min_tokens)
+    made = text.let(
+        text.clean_transcript(F.col("transcript")),
+        lambda c: F.struct(c.alias("transcript_clean"), text.token_count(c).alias("token_count")),
     )
-    return first_of_copies(long_enough)
+    # As a filter on the new columns the cleaning would be pushed down and run a second time.
+    long_enough = F.filter(F.array(made), lambda x: x["token_count"] >= min_tokens)
+    return first_of_copies(drop_missing(transcripts)).select("*", F.inline(long_enough))
 
 
 def with_sections(cleaned: DataFrame, size: int = fixed.SECTION_WORDS) -> DataFrame:

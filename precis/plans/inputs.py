@@ -68,7 +68,7 @@ def with_summary(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 def gold_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, summary)`` of every document."""
     ids = table(spark, folder, "documents").select("doc_id")
-    return with_summary(ids, spark, folder)
+    return with_summary(store.spread(ids, "doc_id"), spark, folder)
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

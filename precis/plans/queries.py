@@ -41,7 +41,7 @@ def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
 def word_sections(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = transcripts.clean(inputs.transcripts(spark, folder))
     return transcripts.with_sections(cleaned).select(
-        "doc_id", F.posexplode("lecture_section").alias("section_id", "section")
+        "doc_id", F.posexplode(text.whole(F.col("lecture_section"))).alias("section_id", "section")
     )
 
 
@@ -118,7 +118,7 @@ def hand_label_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = inputs.documents(spark, folder)
     rows = sentences.sentence_rows(sentences.plain_sentences(docs)).withColumn("file_name", F.lit("documents"))
     listed = sentences.plain_sentences(inputs.table(spark, folder, "benchmark"), "text").select(
-        F.lit("documents").alias("file_name"), F.explode("sentences").alias("sentence")
+        F.lit("documents").alias("file_name"), F.explode(text.whole(F.col("sentences"))).alias("sentence")
     )
     return labels.label_by_hand(rows, listed).select("doc_id", "sentence_id", "label")
 
@@ -471,10 +471,10 @@ def text_notes(spark: SparkSession, folder: str) -> DataFrame:
         item.alias("item_id"), F.col("value").alias("document")
     )
     rows = sentences.plain_sentences(notes).select(
-        "item_id", F.posexplode("sentences").alias("sentence_id", "sentence")
+        "item_id", F.posexplode(text.whole(F.col("sentences"))).alias("sentence_id", "sentence")
     ).withColumn("file_name", F.lit("documents"))
     listed = sentences.plain_sentences(inputs.documents(spark, folder)).select(
-        F.lit("documents").alias("file_name"), F.explode("sentences").alias("sentence")
+        F.lit("documents").alias("file_name"), F.explode(text.whole(F.col("sentences"))).alias("sentence")
     )
     return labels.label_by_hand(rows, listed).select("item_id", "sentence_id", "sentence", "label")
 
