@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _masks(tokens: list[str]) -> dict[str, int]:
@@ -36,7 +37,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return _length(_masks(a), len(a), b)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
     """LCS length of two texts of space-separated tokens."""
     return pd.Series(
@@ -44,7 +45,7 @@ def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def lcs_lines(lines: pd.Series, reference: pd.Series) -> pd.Series:
     """LCS length of every line of a text with one reference, whose bit masks are built once."""
 

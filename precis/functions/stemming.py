@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: suffix rules of the published algorithm and the irregular words ---------------
 IRREGULAR = {
@@ -138,7 +139,7 @@ class _Stems(dict):
         return self[word]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem space-separated tokens; lines stay separate.
 
