@@ -83,7 +83,8 @@ def labeled(spark):
 
 
 @pytest.mark.parametrize("name, params", [
-    ("rf", {"num_trees": 5, "max_depth": 4}), ("nb", {}), ("svm", {}), ("logreg", {}), ("linreg", {}),
+    ("rf", {"num_trees": 5, "max_depth": 4}), ("nb", {}), ("svm", {"max_iter": 10}), ("logreg", {"max_iter": 10}),
+    ("linreg", {"max_iter": 10}),
     ("ffn", {"hidden": (4,), "max_iter": 5}),
 ])
 def test_classifiers(spark, labeled, name, params):
@@ -100,7 +101,7 @@ def test_classifiers(spark, labeled, name, params):
 
 
 def test_save_load_and_unknown(spark, labeled, tmp_path):
-    trained = training.train(labeled, [], "logreg", max_n=2, max_features=50)
+    trained = training.train(labeled, [], "logreg", max_n=2, max_features=50, max_iter=10)
     training.save(trained, str(tmp_path / "m"))
     loaded = training.load(spark, str(tmp_path / "m"), "logreg")
     a = training.score(trained, labeled).orderBy("doc_id", "sentence_id").select("score").collect()
@@ -115,7 +116,7 @@ def test_save_load_and_unknown(spark, labeled, tmp_path):
 
 
 def test_summaries_are_ordered_parts_of_the_text(spark, labeled):
-    trained = training.train(labeled, [], "logreg", max_features=50)
+    trained = training.train(labeled, [], "logreg", max_features=50, max_iter=10)
     docs = corpus(spark).unionByName(spark.createDataFrame([(99, " ", "x")], "doc_id long, document string, summary string"))
     texts = {r["doc_id"]: r["text"] for r in training.summarize(trained, docs, 3).collect()}
     assert texts.pop(99) == "" and len(texts) == 40
@@ -127,14 +128,14 @@ def test_summaries_are_ordered_parts_of_the_text(spark, labeled):
 
 
 def test_out_of_bag(spark, labeled):
-    trained = training.train(labeled, [], "logreg", max_features=50)
+    trained = training.train(labeled, [], "logreg", max_features=50, max_iter=10)
     vectors = models.vectorize(trained.vectorizer, labeled)
     got = models.out_of_bag_score(vectors, num_trees=4, max_depth=3).first()
     assert got["n"] == labeled.count() and 0 < got["n_voted"] <= got["n"] and 0 <= got["oob_score"] <= 1
 
 
 def test_two_systems(spark, labeled):
-    first = training.train(labeled, [], "logreg", max_features=50)
+    first = training.train(labeled, [], "logreg", max_features=50, max_iter=10)
     second = training.train(labeled, [], "nb", max_features=50)
     docs = corpus(spark).withColumnRenamed("document", "transcript")
     found = lectures.summarize([first, training.Trained(first.vectorizer, second.classifier, "nb")], docs, 2)
