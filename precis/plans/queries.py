@@ -19,6 +19,9 @@ from precis.sources import files, store
 
 # Vocabulary of the models that hold dense rows or weights per feature.
 DENSE_FEATURES = 1000
+# The registered forests are smaller than the default of 300 trees of depth 30, which takes minutes
+# even at the smallest scales.
+SMALL_FOREST = {"num_trees": 30, "max_depth": 10}
 
 
 # --- cleaning, sentences, topics -------------------------------------------------------------
@@ -240,7 +243,7 @@ def chat_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def system_rouge_mean(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean scores of the outside replies, failed ones skipped, and of the document starts."""
+    """Mean scores of the outside replies, failed ones skipped, and of the whole documents."""
     golds = inputs.gold_summaries(spark, folder)
     outside = rouge.score_systems(
         chat.reply_texts(_replies(spark, folder)), golds, ("rouge1", "rougeL"), stem=False, skip_empty=True
@@ -520,7 +523,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "threshold_report": threshold_report,
     "nb_summary": nb_summary,
     "summary_last_ties": summary_last_ties,
-    "rf_report": _model_report("rf", DENSE_FEATURES),
+    "rf_report": _model_report("rf", DENSE_FEATURES, **SMALL_FOREST),
     "nb_mllib_report": _model_report("nb", fixed.MAX_FEATURES),
     "svm_report": _model_report("svm", fixed.MAX_FEATURES),
     "logreg_report": _model_report("logreg", fixed.MAX_FEATURES),
