@@ -17,8 +17,10 @@ from precis.operators import (
 from precis.plans import inputs, lectures, training
 from precis.sources import files, store
 
-# Vocabulary of the models that hold dense rows or weights per feature.
+# Vocabulary of the forests, which hold a bin per row and feature, and of the network, which holds
+# 256 weights per feature.
 DENSE_FEATURES = 1000
+NETWORK_FEATURES = 256
 # The registered forests are smaller than the default of 300 trees of depth 30, which takes minutes
 # even at the smallest scales.
 SMALL_FOREST = {"num_trees": 30, "max_depth": 10}
@@ -418,7 +420,7 @@ def lecture_two_systems(spark: SparkSession, folder: str) -> DataFrame:
     labeled = _labeled(spark, folder)
     stop_words = text.english_stop_words()
     first = training.train(
-        labeled, stop_words, "logreg", max_n=2, max_features=DENSE_FEATURES, max_iter=500
+        labeled, stop_words, "logreg", max_n=2, max_features=NETWORK_FEATURES, max_iter=500
     )
     vectors = models.vectorize(first.vectorizer, labeled.where(F.col("part") == "train"))
     net = models.fit_network(store.staged(vectors.select("label", "features"), "vectors"), max_iter=10)
@@ -528,7 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "svm_report": _model_report("svm", fixed.MAX_FEATURES),
     "logreg_report": _model_report("logreg", fixed.MAX_FEATURES),
     "linreg_report": _model_report("linreg", fixed.MAX_FEATURES),
-    "ffn_report": _model_report("ffn", DENSE_FEATURES),
+    "ffn_report": _model_report("ffn", NETWORK_FEATURES),
     "rf_oob": rf_oob,
     "model_roundtrip": model_roundtrip,
     "lecture_two_systems": lecture_two_systems,
