@@ -21,9 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_DIR_SETTING} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="precis-")
-    spark.conf.set(_DIR_SETTING, own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="precis-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
