@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precis.llm import bpe, language, toxicity, urls
+from precis.llm import bpe, jaccard, language, repeats, toxicity, urls
 from precis.llm.common import id_remainder, table
 
 URL_RULES = (
@@ -34,6 +34,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, ("page_id",))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_sets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(
+        table(spark, sf_dir, "documents"), ("doc_id",), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
@@ -46,6 +56,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
