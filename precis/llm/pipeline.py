@@ -1,5 +1,56 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline. Each takes and, but for the last, returns a table of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from precis.llm import bpe, jaccard, language, mixing, repeats
+from precis.llm.common import id_remainder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SHARE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a letter and those of whose n-grams no language knows ``LEAST_SHARE``."""
+    filters = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    found = language.identify(docs.withColumn("_text", F.col("text")), filters, tuple(kept), text="_text")
+    passes = (F.col("lang_pred") != language.UNDECIDED) & (F.col("lang_score") >= LEAST_SHARE)
+    return found.filter(passes).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents only the one with the smallest id stays; the text of a row that
+    repeats an id is compared too, so such rows stay together with the first one."""
+    found = jaccard.similar_sets(docs)
+    gone = found.filter(F.col("component") < F.col("doc")).select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out. Of a character that a cut goes through, the rest is dropped too."""
+    kept = repeats.remove_repeats(docs, ("doc_id", "lang", "source"), ("kept_text",))
+    return kept.withColumn("text", F.col("kept_text")).select(*COLUMNS[:-1], F.char_length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs)
+    return mixed.select(*COLUMNS, F.explode("shards").alias("_shard")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digests of ids and decoded bytes."""
+    return bpe.encode_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id", "lang", "source"),
+    )
+
+
+STAGES = [
+    ("language_id", language_id), ("jaccard_join", one_of_each_group), ("suffix_dedup", suffix_dedup),
+    ("mixing", mix_sources), ("byte_bpe", encode),
+]

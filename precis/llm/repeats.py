@@ -341,7 +341,7 @@ def repeated_spans(docs: DataFrame, depth: int = 50, doc_id: str = "doc_id", tex
 
 FIELDS = {
     "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(),
-    "kept_sha256": T.StringType(), "kept": T.BinaryType(),
+    "kept_sha256": T.StringType(), "kept": T.BinaryType(), "kept_text": T.StringType(),
 }
 
 
@@ -351,7 +351,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...], outputs: tuple[str, .
     smaller id. Strings are judged on the input; overlapping ones all count.
 
     Returns ``outputs`` of every document beside the columns in ``keep``: sizes in bytes, the number of
-    maximal removed runs, the remaining bytes and their sha256. A null text counts as empty. Documents
+    maximal removed runs, the remaining bytes, their sha256, and the remaining text, without what is left of
+    a character that a cut goes through. A null text counts as empty. Documents
     shorter than ``depth`` lose nothing, nor do rows with a null id, which are no source either. Rows
     that share an id are one document for the comparison; each keeps its own text.
     """
@@ -366,7 +367,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...], outputs: tuple[str, .
         def one(value: str | None, spans: list[dict] | None) -> tuple:
             data = (value or "").encode()
             if not spans:
-                return len(data), 0, 0, hashlib.sha256(data).hexdigest(), data
+                return len(data), 0, 0, hashlib.sha256(data).hexdigest(), data, value or ""
             pairs = sorted((s["start"], s["stop"]) for s in spans)
             kept, done, runs = [], 0, 0
             for start, stop in pairs:
@@ -377,7 +378,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...], outputs: tuple[str, .
                 done = max(done, stop)
             kept.append(data[done:])
             rest = b"".join(kept)
-            return len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest
+            text = "".join(part.decode("utf-8", "ignore") for part in kept)
+            return len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest, text
 
         wanted = [list(FIELDS).index(name) for name in outputs]
 
