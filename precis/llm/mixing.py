@@ -75,7 +75,8 @@ def plan_draws(blocks: pd.DataFrame) -> pd.DataFrame:
         extra[open_[0]] = 1
         blocks.loc[open_[0], "room"] = room
     blocks["draws"] += extra
-    return blocks[["number", "block", "nth", "words", "passes", "draws", "room"]]
+    blocks["extra_nth"] = np.where(extra, extra.cumsum() - 1, -1)
+    return blocks[["number", "block", "nth", "extra_nth", "words", "passes", "draws", "room"]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = 8, seed: int = 0,
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     dealt = blocks.withColumnRenamed("source", "s").join(F.broadcast(plan_rows), F.col("s").eqNullSafe(F.col("source")))
     dealt = dealt.withColumn("order", F.xxhash64(F.lit(seed + 1), "number", "block"))
     dealt = dealt.select("number", "block", "order", "words", "passes", "rest").groupBy("number").applyInPandas(
-        plan_draws, "number int, block int, nth int, words long, passes int, draws int, room double")
+        plan_draws, "number int, block int, nth int, extra_nth int, words long, passes int, draws int, room double")
     dealt = written(dealt, "mix-blocks")
     drawn = dealt.groupBy("number").agg(F.sum("draws").alias("q"), F.count("*").alias("blocks")).toPandas()
     quotas = np.zeros(len(named), dtype=np.int64)
@@ -131,14 +132,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         [(int(n), int(b)) for n, b in zip(drawn["number"], drawn["blocks"], strict=True)], "number int, blocks long")
 
     # The draws of a source in order: pass by pass, each in the permuted order of the blocks.
-    positions = F.transform(F.sequence(F.lit(0), F.greatest(F.col("draws") - 1, F.lit(0))),
-                            lambda p: p * F.col("blocks") + F.col("nth"))
+    passes = F.filter(F.sequence(F.lit(0), F.col("passes")), lambda p: p < F.col("passes"))
+    positions = F.concat(
+        F.transform(passes, lambda p: p * F.col("blocks") + F.col("nth")),
+        F.when(F.col("extra_nth") >= 0, F.array(F.col("passes") * F.col("blocks") + F.col("extra_nth"))).otherwise(
+            F.array().cast("array<bigint>")))
     shard_of = F.transform(positions, lambda x: F.size(F.filter(F.col("ends"), lambda e: e <= x)))
     dealt = dealt.join(F.broadcast(end_rows), "number").join(F.broadcast(counts), "number")
-    dealt = dealt.select("number", "block", "passes", "room", "words", "draws", F.when(
-        F.col("draws") > 0, shard_of).otherwise(F.array().cast("array<int>")).alias("draw_shards"))
+    dealt = dealt.select("number", "block", "passes", "room", shard_of.alias("draw_shards"))
     dealt = dealt.join(F.broadcast(plan_rows.select("number", "source", "source_size", "target")), "number").select(
-        F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "passes", "room", "words", "draw_shards")
+        F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "passes", "room", "draw_shards")
 
     # Only one block of a source is taken row by row, in random order.
     key = F.xxhash64(F.lit(seed + 2), "h")
