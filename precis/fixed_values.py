@@ -33,21 +33,24 @@ TOPIC_RULES = [
     ("RL", ["reinforcement learning", "rl ", "rl -"]),
     ("ML/Deep Learning", [
         "machine learning", "deep learning", "neural network", "cs229", "cs230", "cs221", "cs234",
-        "ml tech talks",
+        "ml tech talks", "mit advanced machine learning", "advanced deep learning",
+        "deep learning course", "deep learning basics", "practical deep learning",
+        "deep learning fundamentals", "intro to deep learning", "deep learning from the foundations",
     ]),
     ("AI: General/Papers", [
         "artificial intelligence", "ai ", "ai-", "ai,", "ai:", "age of a.i.", "two minute papers",
-        "papers explained",
+        "papers explained", "ai explained", "cognitive and ai", "deep learning research papers",
     ]),
     ("DS/Stats", [
         "data science", "pydata", "scipy", "tabular data", "practical statistics",
         "data engineering", "linear algebra", "data analysis", "pandas tutorial",
+        "free data science course", "python data analysis",
     ]),
     ("Programming/Python", [
         "python", "django", "flask", "pytorch", "tensorflow", "matplotlib",
         "modules and libraries", "projects", "programming", "web scraping", "beautiful soup",
     ]),
-    ("Podcast/Talk", ["podcast", "lex fridman", "our story"]),
+    ("Podcast/Talk", ["podcast", "deepmind: the podcast", "lex fridman", "our story"]),
 ]
 OTHER_TOPIC = "Other"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from precis import fixed_values as fixed
 from precis.functions import counts, text
 from precis.operators import features, ranking, rouge, sentences
+from precis.sources import store
 
 SUMMARY_ROW = -1  # sentence_id of the row that holds the summary of a document
 
@@ -15,13 +16,15 @@ SUMMARY_ROW = -1  # sentence_id of the row that holds the summary of a document
 def label_by_overlap(
     pairs: DataFrame,
     k: int = fixed.TOP_K_ROUGE,
-    cap: int | None = fixed.MAX_SENTENCES_PER_DOC,
+    cap: int | None = None,
     stem: bool = True,
 ) -> DataFrame:
     """Label 1 for the ``k`` sentences with the best ROUGE-L against the summary.
 
     ``(doc_id, sentence_id, sentence, score, label)``. Splitting, scoring and choosing all happen
     within the row of the document, so the only shuffle is the one that brought the pair together.
+    ``cap`` reads only the first sentences of a document. A null document has no sentences; with a
+    null summary all scores are 0.
     """
     docs = rouge.sentence_overlap(sentences.plain_sentences(pairs, "document", cap), stem)
     chosen = docs.select(
@@ -66,7 +69,10 @@ def fit_summary_idf(
     By default a summary counts once for every sentence of its document. It is not repeated for
     that; its row carries the number as a weight.
     """
-    units = _units(documents, stop_words, max_n)
+    return _idf_of_units(_units(documents, stop_words, max_n), max_features, summary_once)
+
+
+def _idf_of_units(units: DataFrame, max_features: int, summary_once: bool) -> DataFrame:
     times = F.lit(1) if summary_once else F.col("n_sentences")
     weight = F.when(F.col("sentence_id") == SUMMARY_ROW, times).otherwise(1)
     return features.fit_idf(units, max_features, weight)
@@ -78,10 +84,13 @@ def cosine_scores(
     """Cosine of every sentence with the summary of its document: ``(doc_id, sentence_id, score)``.
 
     ``documents`` holds ``doc_id, sentences, summary``; ``idf`` comes from :func:`fit_summary_idf`
-    and has at most ``max_features`` rows, which bounds the broadcast. Each task sums the terms of
+    and has at most ``max_features`` rows; the planner broadcasts it if it is small. Each task sums the terms of
     a sentence before the shuffle, so one small row per sentence moves.
     """
-    units = _units(documents, stop_words, max_n)
+    return _scores_of_units(_units(documents, stop_words, max_n), idf)
+
+
+def _scores_of_units(units: DataFrame, idf: DataFrame) -> DataFrame:
     terms = F.transform(
         "terms",
         lambda t: F.struct(
@@ -93,7 +102,7 @@ def cosine_scores(
     rows = units.select("doc_id", "sentence_id", F.explode_outer(terms).alias("_t")).select(
         "doc_id", "sentence_id", "_t.*"
     )
-    weighted = rows.join(F.broadcast(idf.select("term", "idf")), "term", "left")
+    weighted = rows.join(idf.select("term", "idf"), "term", "left")
     square = F.col("idf") * F.col("idf")
     sums = weighted.groupBy("doc_id", "sentence_id").agg(
         F.coalesce(F.sum(F.col("tf") * F.col("summary_tf") * square), F.lit(0.0)).alias("_dot"),
@@ -119,8 +128,10 @@ def label_by_cosine(
     summary_once: bool = False,
 ) -> DataFrame:
     """Label 1 for the ``k`` sentences closest to the summary; the later sentence wins ties."""
-    idf = fit_summary_idf(documents, stop_words, 2, max_features, summary_once)
-    return ranking.with_top_k(cosine_scores(documents, idf, stop_words), k, ties="last")
+    # The terms are made once and written; the statistics and the scores both read them.
+    units = store.staged(_units(documents, stop_words, 2), "units")
+    idf = store.staged(_idf_of_units(units, max_features, summary_once), "idf")
+    return ranking.with_top_k(_scores_of_units(units, idf), k, ties="last")
 
 
 def attach_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,16 +171,8 @@ def label_distribution(labeled: DataFrame, *by: str) -> DataFrame:
 
 
 def positive_weight(labeled: DataFrame) -> DataFrame:
-    """``n_neg / n_pos`` as one row."""
+    """``n_neg / n_pos`` as one row; null without positives."""
     return labeled.agg(
-        (F.sum(1 - F.col("label")) / F.sum("label")).alias("positive_weight")
+        F.try_divide(F.sum(1 - F.col("label")), F.sum("label")).alias("positive_weight")
     )
 
-
-def union_sources(**sources: DataFrame) -> DataFrame:
-    """Bag union of labelled tables; the ``source`` column keeps their keys apart."""
-    tables = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
-    union = tables[0]
-    for table in tables[1:]:
-        union = union.unionByName(table)
-    return union

@@ -39,7 +39,7 @@ def _bag_scores(bags: Column) -> Column:
 
 
 def tokenized(df: DataFrame, column: str, name: str, stem: bool) -> DataFrame:
-    plain = text.rouge_text(F.col(column))
+    plain = text.rouge_text(F.coalesce(F.col(column), F.lit("")))
     return df.withColumn(name, stemming.stem_text(plain) if stem else plain)
 
 
@@ -50,7 +50,10 @@ def score_pairs(
     metrics: tuple[str, ...] = METRICS,
     stem: bool = True,
 ) -> DataFrame:
-    """Add one ``struct<p, r, f>`` per metric to rows that hold a candidate and a reference."""
+    """Add one ``struct<p, r, f>`` per metric to rows that hold a candidate and a reference.
+
+    A null text counts as empty, so all its scores are 0.
+    """
     keep = pairs.columns
     df = tokenized(pairs, candidate, "_c", stem)
     df = tokenized(df, reference, "_r", stem)
@@ -103,8 +106,9 @@ def sentence_overlap(documents: DataFrame, stem: bool = True) -> DataFrame:
     The sentences of a document travel to Python as lines of one string together with the summary,
     whose tokens are therefore prepared once per document rather than once per sentence.
     """
-    df = documents.withColumn("_lines", F.transform("sentences", text.rouge_text)).withColumn(
-        "_summary", text.rouge_text(F.col("summary"))
+    given = F.coalesce("sentences", F.array().cast("array<string>"))
+    df = documents.withColumn("_lines", F.transform(given, text.rouge_text)).withColumn(
+        "_summary", text.rouge_text(F.coalesce(F.col("summary"), F.lit("")))
     )
     lines, reference = F.array_join("_lines", "\n"), F.col("_summary")
     if stem:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
 from precis.functions import text
+from precis.sources import store
 
 
 def drop_missing(transcripts: DataFrame) -> DataFrame:
@@ -17,11 +18,12 @@ def drop_missing(transcripts: DataFrame) -> DataFrame:
 def first_of_copies(df: DataFrame, column: str = "transcript", key: str = "doc_id") -> DataFrame:
     """Keep the row with the smallest key of each group of equal texts.
 
-    Copies are counted by digest before anything is shuffled, so a text that makes up a third of
-    the table is one row per task. What is dropped is then found by anti-join on the unique key;
-    the texts themselves are moved only if the list of copies is too long to broadcast.
+    Keys and digests are written once, so the texts are read for them only once. Copies are counted by
+    digest before anything is shuffled: a text that makes up a third of the table is one row per task.
+    What is dropped is then found by anti-join on the unique key. If the list of copies is too long to
+    broadcast, that join shuffles the texts.
     """
-    digests = df.select(key, F.sha2(column, 256).alias("_digest"))
+    digests = store.staged(df.select(key, F.sha2(column, 256).alias("_digest")), "digests")
     firsts = digests.groupBy("_digest").agg(
         F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies")
     )

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.sources import store
-
 # Playlist of each document source; together they reach every topic.
 PLAYLISTS = {
     "src0": "CS224N Natural Language Processing",
@@ -39,28 +37,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, document)``."""
-    found = table(spark, folder, "documents").select("doc_id", F.col("text").alias("document"))
-    return store.spread(found, "doc_id")
+    return table(spark, folder, "documents").select("doc_id", F.col("text").alias("document"))
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, transcript, title, playlist_name)``."""
     names = F.create_map(*[F.lit(x) for pair in PLAYLISTS.items() for x in pair])
-    found = table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id",
         F.col("text").alias("transcript"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"),
         F.try_element_at(names, F.col("source")).alias("playlist_name"),
     )
-    return store.spread(found, "doc_id")
+
+
+def numbered_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """``(item_id, text)`` of ``benchmark``, numbered from 0 without gaps."""
+    passages = table(spark, folder, "benchmark").select("item_id", "text")
+    number = F.row_number().over(Window.orderBy("item_id")).cast("long") - 1
+    return passages.select(number.alias("item_id"), "text")
 
 
 def with_summary(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Add ``summary``: the passages of ``benchmark`` dealt out in turn to all documents.
 
-    The remainder is the join key that gives every document its passage; it leaves none out.
+    The remainder is the join key that gives every document its passage. The passages are numbered
+    here, so none is left out whatever their ids are; the table is small, one window orders it.
     """
-    passages = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("summary"))
+    passages = numbered_passages(spark, folder).withColumnRenamed("text", "summary")
     n = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
     return df.withColumn("item_id", F.col("doc_id") % n).join(passages, "item_id").drop("item_id")
 
@@ -68,7 +72,7 @@ def with_summary(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 def gold_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, summary)`` of every document."""
     ids = table(spark, folder, "documents").select("doc_id")
-    return with_summary(store.spread(ids, "doc_id"), spark, folder)
+    return with_summary(ids, spark, folder)
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

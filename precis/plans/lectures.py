@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
 from precis.functions import text
-from precis.operators import labels, models, rouge, sentences, summaries, transcripts
+from precis.operators import models, rouge, sentences, summaries, transcripts
 from precis.plans import training
 
 
@@ -24,24 +24,17 @@ def sentence_table(lectures: DataFrame) -> DataFrame:
     )
 
 
-def label(
-    lectures: DataFrame, hand_summaries: DataFrame, stop_words: list[str], k: int = fixed.TOP_K_COSINE
-) -> DataFrame:
-    """``(doc_id, sentence_id, score, label)`` of the lectures that have a hand-written summary."""
-    golds = hand_summaries.select("doc_id", F.col("paraphrased_summary").alias("summary"))
-    documents = lectures.select("doc_id", "sentences").join(golds, "doc_id")
-    return labels.label_by_cosine(documents, stop_words, k)
-
-
 def summarize(
     systems: list[training.Trained], documents: DataFrame, k: int = fixed.TOP_K_COSINE,
     column: str = "transcript",
 ) -> DataFrame:
     """``(system, doc_id, text)``: one summary per model; among equal scores the later sentence wins.
 
-    The systems share the vectorizer of the first one. Sentences and features are made once and
+    The systems must share one vectorizer. Sentences and features are made once and
     scored by each model in the same stage, so a second system adds no second scan.
     """
+    if any(t.vectorizer is not systems[0].vectorizer for t in systems):
+        raise ValueError("the systems have different vectorizers")
     cleaned = documents.select(
         "doc_id", text.clean_transcript(F.col(column)).alias("transcript_clean")
     )

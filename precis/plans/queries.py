@@ -17,13 +17,9 @@ from precis.operators import (
 from precis.plans import inputs, lectures, training
 from precis.sources import files, store
 
-# Vocabulary of the forests, which hold a bin per row and feature, and of the network, which holds
-# 256 weights per feature.
-DENSE_FEATURES = 1000
-NETWORK_FEATURES = 256
-# The registered forests are smaller than the default of 300 trees of depth 30, which takes minutes
-# even at the smallest scales.
-SMALL_FOREST = {"num_trees": 30, "max_depth": 10}
+# Bounds of the labelled rows that a classifier is fitted on, by the cost of its fit. Vocabulary, trees,
+# depth, layers and iterations are the defaults of the operators; scoring always covers all rows.
+FIT_ROWS = {"nb": 100_000, "svm": 20_000, "logreg": 20_000, "linreg": 20_000, "rf": 500, "ffn": 1_000}
 
 
 # --- cleaning, sentences, topics -------------------------------------------------------------
@@ -212,7 +208,7 @@ def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 
 def _replies(spark: SparkSession, folder: str) -> DataFrame:
     """Reply bodies for all documents: the passage after their own; cut-off JSON where flagged toxic."""
-    passages = inputs.table(spark, folder, "benchmark").select("item_id", "text")
+    passages = inputs.numbered_passages(spark, folder)
     n = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
     ids = inputs.table(spark, folder, "documents").select("doc_id")
     flagged = inputs.table(spark, folder, "labels").where(F.col("toxic") == 1).select("doc_id", F.lit(True).alias("_bad"))
@@ -281,7 +277,7 @@ def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_bigram_topk(spark: SparkSession, folder: str) -> DataFrame:
-    golds = _gold_lectures(spark, folder)
+    golds = store.staged(_gold_lectures(spark, folder), "lectures")
     found = labels.fit_summary_idf(golds, text.english_stop_words())
     return found.withColumn("idf", F.round("idf", 6))
 
@@ -323,12 +319,13 @@ def frozen_transform(spark: SparkSession, folder: str) -> DataFrame:
 # --- models ----------------------------------------------------------------------------------
 
 
-def _labeled(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences with cosine labels and the part of their document, written once."""
+def _labeled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The lectures with their summaries, and their sentences with cosine labels and the part of their
+    document; both written once."""
     golds = store.staged(_gold_lectures(spark, folder), "lectures")
     found = labels.label_by_cosine(golds, text.english_stop_words())
     rows = labels.attach_labels(golds, found)
-    return store.staged(rows.join(split_by_doc(spark, folder), "doc_id"), "labeled")
+    return golds, store.staged(rows.join(split_by_doc(spark, folder), "doc_id"), "labeled")
 
 
 def _bayes(spark: SparkSession, labeled: DataFrame) -> naive_bayes.NaiveBayes:
@@ -337,13 +334,13 @@ def _bayes(spark: SparkSession, labeled: DataFrame) -> naive_bayes.NaiveBayes:
 
 
 def nb_scores(spark: SparkSession, folder: str) -> DataFrame:
-    labeled = _labeled(spark, folder)
+    _, labeled = _labeled(spark, folder)
     found = naive_bayes.score(_bayes(spark, labeled), labeled)
     return found.withColumn("score", F.round("score", 6))
 
 
 def nb_report(spark: SparkSession, folder: str) -> DataFrame:
-    labeled = _labeled(spark, folder)
+    _, labeled = _labeled(spark, folder)
     test = labeled.where(F.col("part") == "test")
     scored = naive_bayes.score(_bayes(spark, labeled), test)
     return _rounded(evaluation.classification_report(test.join(scored, ["doc_id", "sentence_id"])))
@@ -351,7 +348,7 @@ def nb_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def threshold_report(spark: SparkSession, folder: str) -> DataFrame:
     """The Bayes scores of the test part cut at the network's threshold."""
-    labeled = _labeled(spark, folder)
+    _, labeled = _labeled(spark, folder)
     test = labeled.where(F.col("part") == "test")
     scored = naive_bayes.score(_bayes(spark, labeled), test).select("doc_id", "sentence_id", "score")
     cut = evaluation.with_threshold(scored, fixed.FFN_THRESHOLD)
@@ -360,11 +357,33 @@ def threshold_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def nb_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Summaries of all lectures: the five most probable sentences in document order."""
-    labeled = _labeled(spark, folder)
+    golds, labeled = _labeled(spark, folder)
     scored = naive_bayes.score(_bayes(spark, labeled), labeled)
-    cleaned = transcripts.clean(inputs.transcripts(spark, folder))
-    split = sentences.lecture_sentences(cleaned).select("doc_id", "sentences")
-    return summaries.from_scores(split, scored)
+    return summaries.from_scores(golds.select("doc_id", "sentences"), scored)
+
+
+def nb_summary_rouge_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean scores of the generated summaries of the test lectures against the written ones."""
+    golds, labeled = _labeled(spark, folder)
+    test = labeled.where(F.col("part") == "test")
+    scored = naive_bayes.score(_bayes(spark, labeled), test)
+    lectures_ = splits.members(golds, labeled.select("doc_id", "part").distinct(), "test")
+    found = summaries.from_scores(lectures_.select("doc_id", "sentences"), scored)
+    records = rouge.score_systems(
+        found.withColumn("system", F.lit("nb")), golds, ("rouge1", "rougeL"), stem=False
+    )
+    means = rouge.mean_scores(records, "rouge1", "rougeL")
+    return means.select(
+        "system", "n_docs", F.round("rouge1_f", 6).alias("rouge1_f"), F.round("rougeL_f", 6).alias("rougeL_f")
+    )
+
+
+def report_val(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of the Bayes model on the validation part."""
+    _, labeled = _labeled(spark, folder)
+    held = labeled.where(F.col("part") == "val")
+    scored = naive_bayes.score(_bayes(spark, labeled), held)
+    return _rounded(evaluation.classification_report(held.join(scored, ["doc_id", "sentence_id"])))
 
 
 def summary_last_ties(spark: SparkSession, folder: str) -> DataFrame:
@@ -379,31 +398,32 @@ def _rounded(report: DataFrame) -> DataFrame:
     )
 
 
-def _model_report(name: str, max_features: int, **params) -> Callable[[SparkSession, str], DataFrame]:
+def _model_report(name: str, part: str = "test", **params) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        labeled = _labeled(spark, folder)
-        trained = training.train(
-            labeled, text.english_stop_words(), name, max_features=max_features, **params
-        )
-        return _rounded(training.report(trained, labeled))
+        _, labeled = _labeled(spark, folder)
+        trained = training.train(labeled, text.english_stop_words(), name, fit_rows=FIT_ROWS[name], **params)
+        return _rounded(training.report(trained, labeled, part))
 
     return query
 
 
+# The network reads the most frequent 1-2-grams, as many as its input layer has.
+NETWORK_TERMS = {"max_n": 2, "max_features": fixed.MAX_FEATURES}
+
+
 def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
-    train = _labeled(spark, folder).where(F.col("part") == "train")
-    vectorizer = models.fit_vectorizer(train, text.english_stop_words(), max_features=DENSE_FEATURES)
-    vectors = store.staged(
-        models.vectorize(vectorizer, train).select("doc_id", "sentence_id", "label", "features"), "vectors"
-    )
-    found = models.out_of_bag_score(vectors, num_trees=10, max_depth=10)
+    _, labeled = _labeled(spark, folder)
+    train = training.fit_sample(labeled.where(F.col("part") == "train"), FIT_ROWS["rf"])
+    vectorizer = models.fit_vectorizer(train, text.english_stop_words())
+    vectors = models.vectorize(vectorizer, train).select("doc_id", "sentence_id", "label", "features")
+    found = models.out_of_bag_score(vectors)
     return found.withColumn("oob_score", F.round("oob_score", 6))
 
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Rows on which a saved and reloaded model differs from the fitted one: expected 0."""
-    labeled = _labeled(spark, folder)
-    trained = training.train(labeled, text.english_stop_words(), "logreg", max_features=fixed.MAX_FEATURES)
+    _, labeled = _labeled(spark, folder)
+    trained = training.train(labeled, text.english_stop_words(), "logreg", fit_rows=FIT_ROWS["logreg"])
     path = store.fresh_path(spark, "model")
     training.save(trained, path)
     loaded = training.load(spark, path, "logreg")
@@ -417,13 +437,14 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def lecture_two_systems(spark: SparkSession, folder: str) -> DataFrame:
     """Two systems on all test lectures, scored against their summaries."""
-    labeled = _labeled(spark, folder)
+    _, labeled = _labeled(spark, folder)
     stop_words = text.english_stop_words()
     first = training.train(
-        labeled, stop_words, "logreg", max_n=2, max_features=NETWORK_FEATURES, max_iter=500
+        labeled, stop_words, "logreg", fit_rows=FIT_ROWS["logreg"], max_iter=500, **NETWORK_TERMS
     )
-    vectors = models.vectorize(first.vectorizer, labeled.where(F.col("part") == "train"))
-    net = models.fit_network(store.staged(vectors.select("label", "features"), "vectors"), max_iter=10)
+    sample = training.fit_sample(labeled.where(F.col("part") == "train"), FIT_ROWS["ffn"])
+    vectors = models.vectorize(first.vectorizer, sample)
+    net = models.fit_network(store.staged(vectors.select("label", "features"), "vectors"))
     second = training.Trained(first.vectorizer, net, "ffn")
     test = splits.members(inputs.transcripts(spark, folder), labeled.select("doc_id", "part").distinct(), "test")
     found = lectures.summarize([first, second], test)
@@ -465,6 +486,27 @@ def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def notes_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """No pairs: the training sentences come from whole-file notes and the sentences listed for them.
+
+    Each passage is a note; listed are the sentences of the first half of its characters."""
+    path = store.fresh_path(spark, "notes")
+    passages = inputs.table(spark, folder, "benchmark").select("item_id", "text")
+    passages.write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    item = F.regexp_extract("_metadata.file_path", r"item_id=(\d+)", 1)
+    notes = files.read_notes(spark, f"{path}/item_id=*/*", item)
+    halves = passages.select(
+        F.col("item_id").cast("string").alias("file_name"),
+        F.left("text", (F.length("text") / 2).cast("int")).alias("document"),
+    )
+    listed = sentences.plain_sentences(halves).select(
+        "file_name", F.explode(text.whole(F.col("sentences"))).alias("sentence")
+    )
+    nothing = inputs.pairs(spark, folder).where(F.length("document") < 0)
+    found = training.training_sentences(nothing, notes=notes, hand_labels=listed)
+    return found.select("source", "sentence_id", "sentence", "label")
+
+
 def text_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Each passage written as one text file, read back whole, and labelled by the long sentences of
     the document set: a passage sentence is positive where some document holds it verbatim."""
@@ -525,12 +567,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "threshold_report": threshold_report,
     "nb_summary": nb_summary,
     "summary_last_ties": summary_last_ties,
-    "rf_report": _model_report("rf", DENSE_FEATURES, **SMALL_FOREST),
-    "nb_mllib_report": _model_report("nb", fixed.MAX_FEATURES),
-    "svm_report": _model_report("svm", fixed.MAX_FEATURES),
-    "logreg_report": _model_report("logreg", fixed.MAX_FEATURES),
-    "linreg_report": _model_report("linreg", fixed.MAX_FEATURES),
-    "ffn_report": _model_report("ffn", NETWORK_FEATURES),
+    "nb_summary_rouge_mean": nb_summary_rouge_mean,
+    "rf_report": _model_report("rf"),
+    "nb_mllib_report": _model_report("nb"),
+    "svm_report": _model_report("svm"),
+    "logreg_report": _model_report("logreg"),
+    "linreg_report": _model_report("linreg"),
+    "ffn_report": _model_report("ffn", **NETWORK_TERMS),
+    "report_val": report_val,
     "rf_oob": rf_oob,
     "model_roundtrip": model_roundtrip,
     "lecture_two_systems": lecture_two_systems,
@@ -539,4 +583,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "text_notes": text_notes,
+    "notes_fallback": notes_fallback,
 }

@@ -8,11 +8,6 @@ TRANSCRIPTS = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("playlist_name", T.StringType()),
 ])
-HAND_SUMMARIES = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("paraphrased_summary", T.StringType()),
-    T.StructField("topic", T.StringType()),
-])
 HAND_LABELS = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("sentence", T.StringType()),
@@ -21,17 +16,6 @@ NOTES = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("document", T.StringType()),
 ])
-LABELED_SENTENCES = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("sentence_id", T.IntegerType()),
-    T.StructField("sentence", T.StringType()),
-    T.StructField("label", T.IntegerType()),
-])
-CHAT_REPLIES = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("body", T.StringType()),
-])
 REPLY_BODY = T.StructType([
     T.StructField("choices", T.ArrayType(T.StructType([
         T.StructField("message", T.StructType([T.StructField("content", T.StringType())])),
