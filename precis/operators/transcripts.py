@@ -37,16 +37,18 @@ def first_of_copies(df: DataFrame, column: str = "transcript", key: str = "doc_i
 def clean(transcripts: DataFrame, min_tokens: int = fixed.MIN_TRANSCRIPT_TOKENS) -> DataFrame:
     """Cleaned, de-duplicated transcripts of at least ``min_tokens`` words.
 
-    Copies are dropped on the raw text, before cleaning, so texts that only become equal by
+    The stored ``transcript`` has its whitespace collapsed. Copies are dropped on the raw text, so texts that only become equal by
     cleaning are all kept, and the passes that look for copies clean nothing.
     """
     made = text.let(
-        text.clean_transcript(F.col("transcript")),
-        lambda c: F.struct(c.alias("transcript_clean"), text.token_count(c).alias("token_count")),
+        text.collapse_space(F.col("transcript")),
+        lambda t: text.let(text.clean_transcript(t), lambda c: F.struct(
+            t.alias("transcript"), c.alias("transcript_clean"), text.token_count(c).alias("token_count"))),
     )
     # As a filter on the new columns the cleaning would be pushed down and run a second time.
     long_enough = F.filter(F.array(made), lambda x: x["token_count"] >= min_tokens)
-    return first_of_copies(drop_missing(transcripts)).select("*", F.inline(long_enough))
+    others = [c for c in transcripts.columns if c != "transcript"]
+    return first_of_copies(drop_missing(transcripts)).select(*others, F.inline(long_enough))
 
 
 def with_sections(cleaned: DataFrame, size: int = fixed.SECTION_WORDS) -> DataFrame:

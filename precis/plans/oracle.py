@@ -98,7 +98,7 @@ TRANSCRIPTS = [
         QUALIFY row_number() OVER (PARTITION BY transcript ORDER BY doc_id) = 1)""",
 ]
 CLEANED = TRANSCRIPTS + [
-    f"cleaned0 AS MATERIALIZED (SELECT *, {_clean('transcript')} AS transcript_clean FROM firsts)",
+    f"cleaned0 AS MATERIALIZED (SELECT * REPLACE ({_collapse('transcript')} AS transcript), {_clean('transcript')} AS transcript_clean FROM firsts)",
     """cleaned1 AS (
         SELECT *, CASE WHEN transcript_clean = '' THEN 0
                        ELSE len(string_split(transcript_clean, ' ')) END::INTEGER AS token_count
@@ -123,9 +123,12 @@ def _merged(source: str, column: str) -> list[str]:
 
 
 MERGED = CLEANED + _merged("cleaned", "transcript_clean")
-GOLDS = ["""golds AS (
-    SELECT d.doc_id, b.text AS summary FROM documents d
-    JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""]
+GOLDS = [
+    "gold_texts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_no, text FROM benchmark)",
+    "gold_size AS MATERIALIZED (SELECT count(*) AS n_golds FROM benchmark)",
+    "gold_keys AS MATERIALIZED (SELECT doc_id, doc_id % n_golds AS item_no, (doc_id + 1) % n_golds AS next_no FROM documents, gold_size)",
+    "golds AS MATERIALIZED (SELECT doc_id, text AS summary FROM gold_keys JOIN gold_texts USING (item_no))",
+]
 PLAIN = [
     f"plain0 AS MATERIALIZED (SELECT doc_id, {_split('text')} AS p FROM documents)",
     """plain AS MATERIALIZED (
@@ -330,9 +333,8 @@ def _ngram_overlap(n: int) -> str:
 
 
 REPLIES = """replies AS (
-    SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '' ELSE trim(b.text, ' ') END AS text FROM documents d
-    JOIN benchmark b ON b.item_id = (d.doc_id + 1) % (SELECT count(*) FROM benchmark)
-    LEFT JOIN labels l USING (doc_id))"""
+    SELECT k.doc_id, CASE WHEN l.toxic = 1 THEN '' ELSE trim(b.text, ' ') END AS text FROM gold_keys k
+    JOIN gold_texts b ON b.item_no = k.next_no LEFT JOIN labels l USING (doc_id))"""
 
 
 def _mean_scores() -> str:
@@ -352,6 +354,25 @@ def _mean_scores() -> str:
                   round(avg({_f1('hit', 'n', 'm')}), 6) AS rougeL_f FROM both_hits GROUP BY system""")
 
 
+def _nb_rouge_mean(bayes: list[str]) -> str:
+    """Scores of the summaries that the Bayes model makes of the test lectures."""
+    return _with(bayes + [
+        f"""best AS (
+            SELECT doc_id, sentence_id FROM test_rows QUALIFY row_number() OVER (
+                PARTITION BY doc_id ORDER BY round(score, 9) DESC, sentence_id) <= {fixed.TOP_K_ROUGE})""",
+        """made AS (
+            SELECT doc_id, string_agg(sentence, ' ' ORDER BY sentence_id) AS text
+            FROM best JOIN labeled USING (doc_id, sentence_id) GROUP BY doc_id)""",
+        "lcs_in AS MATERIALIZED (SELECT doc_id, summary AS reference, text AS candidate FROM made JOIN golds USING (doc_id))",
+        *_lcs("doc_id"),
+        "c AS (SELECT doc_id, t, count(*) AS k FROM cand_tok GROUP BY ALL)",
+        "r AS (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(r) AS t FROM lcs_tok) GROUP BY ALL)",
+        "hits AS (SELECT doc_id, sum(least(c.k, r.k)) AS hit1 FROM c JOIN r USING (doc_id, t) GROUP BY ALL)",
+        "both_hits AS (SELECT doc_id, n, m, hit, coalesce(hit1, 0) AS hit1 FROM lcs_out LEFT JOIN hits USING (doc_id))",
+    ], f"""SELECT 'nb' AS system, count(*) AS n_docs, round(avg({_f1('hit1', 'n', 'm')}), 6) AS rouge1_f,
+                  round(avg({_f1('hit', 'n', 'm')}), 6) AS rougeL_f FROM both_hits""")
+
+
 def _union_sources() -> str:
     """The same labelling over two pair sources; the source is part of the key."""
     return _with(GOLDS + [
@@ -456,7 +477,7 @@ def oracles() -> dict[str, str]:
             SELECT doc_id, 'summary-model' AS model, {fixed.CHAT_TEMPERATURE}::DOUBLE AS temperature,
                    {fixed.CHAT_MAX_TOKENS} AS max_tokens, 'system' AS first_role, {_literal(fixed.SUMMARY_PROMPT)} AS prompt,
                    'user' AS second_role, text AS content FROM documents""",
-        "chat_replies": _with([REPLIES], "SELECT 'external' AS system, doc_id, text FROM replies"),
+        "chat_replies": _with(GOLDS + [REPLIES], "SELECT 'external' AS system, doc_id, text FROM replies"),
         "system_rouge_mean": _mean_scores(),
         "tfidf_unigram": _with(MERGED + terms + [
             "n_train AS (SELECT count(*) AS n FROM merged)", *_idf_weights("sent_terms", "sent_terms"),
@@ -491,6 +512,15 @@ def oracles() -> dict[str, str]:
                     PARTITION BY doc_id ORDER BY round(score, 9) DESC, sentence_id) <= {fixed.TOP_K_ROUGE})""",
         ], """SELECT doc_id, string_agg(sentence, ' ' ORDER BY sentence_id) AS text
               FROM best JOIN labeled USING (doc_id, sentence_id) GROUP BY doc_id"""),
+        "nb_summary_rouge_mean": _nb_rouge_mean(bayes + [test_rows]),
+        "report_val": _with(bayes + [test_rows.replace("'test'", "'val'")], "")[:-1] + _report("test_rows"),
+        "model_roundtrip": _with(_cosine(stop), "SELECT count(*) AS n, 0::BIGINT AS n_different FROM labeled"),
+        "notes_fallback": f"""
+            WITH items AS (SELECT item_id, {_split('text')} AS p FROM benchmark),
+            rows AS (SELECT item_id, unnest(range(len(p)))::INTEGER AS sentence_id, unnest(p) AS sentence FROM items),
+            listed AS (SELECT DISTINCT item_id, unnest({_split('left(text, length(text) // 2)')}) AS sentence FROM benchmark)
+            SELECT 'notes' AS source, sentence_id, r.sentence, (l.sentence IS NOT NULL)::INTEGER AS label
+            FROM rows r LEFT JOIN listed l ON l.item_id = r.item_id AND l.sentence = r.sentence""",
         "summary_last_ties": _with(labels + [
             f"""best AS (
                 SELECT doc_id, sentence_id FROM scored QUALIFY row_number() OVER (

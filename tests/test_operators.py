@@ -107,6 +107,67 @@ def test_overlap_labels(spark):
     assert labels.label_by_overlap(pairs, k=2, cap=2, stem=False).count() == 2
 
 
+def test_null_texts_count_as_empty(spark):
+    schema = "doc_id long, document string, summary string"
+    pairs = spark.createDataFrame([(1, None, "x"), (2, "One here. Two there.", None), (3, "A b.", "a b")], schema)
+    for stem in (False, True):
+        rows = {(r["doc_id"], r["sentence_id"]): r["score"] for r in labels.label_by_overlap(pairs, stem=stem).collect()}
+        assert rows == {(2, 0): 0.0, (2, 1): 0.0, (3, 0): 1.0}
+        candidates = spark.createDataFrame([("s", 3, None), ("s", 2, "x")], "system string, doc_id long, text string")
+        scored = rouge.score_systems(candidates, pairs.select("doc_id", "summary"), stem=stem).collect()
+        assert {r["doc_id"] for r in scored} == {2, 3}
+        assert all(tuple(r[m]) == (0, 0, 0) for r in scored for m in rouge.METRICS)
+
+
+def test_no_positives(spark):
+    df = spark.createDataFrame([(0,), (0,)], "label int")
+    assert labels.positive_weight(df).first()[0] is None
+
+
+def test_first_of_copies_without_broadcast(spark):
+    df = spark.createDataFrame([(i, f"t{i % 50}") for i in range(500)], "doc_id long, transcript string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["doc_id"] for r in transcripts.first_of_copies(df).collect()} == set(range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+# One name for each keyword of the published rules, written down apart from the product's list.
+TOPIC_NAMES = {
+    "NLP": ["Natural Language Processing", "intro nlp", "The Transformer", "BERT talks", "spaCy", "Hugging Face"],
+    "RL": ["Reinforcement Learning", "Deep RL course", "rl - talks"],
+    "ML/Deep Learning": [
+        "Machine Learning", "Deep Learning", "Neural Network", "CS229", "CS230", "CS221", "CS234", "ML Tech Talks",
+        "MIT Advanced Machine Learning", "Advanced Deep Learning", "Deep Learning Course", "Deep Learning Basics",
+        "Practical Deep Learning", "Deep Learning Fundamentals", "Intro to Deep Learning",
+        "Deep Learning from the Foundations", "Deep Learning Research Papers",
+    ],
+    "AI: General/Papers": [
+        "Artificial Intelligence", "AI talks", "AI-news", "AI, today", "AI: a start", "Age of A.I.",
+        "Two Minute Papers", "Papers Explained", "AI Explained", "Cognitive and AI",
+    ],
+    "DS/Stats": [
+        "Data Science", "PyData", "SciPy", "Tabular Data", "Practical Statistics", "Data Engineering",
+        "Linear Algebra", "Data Analysis", "Pandas Tutorial", "Free Data Science Course", "Python Data Analysis",
+    ],
+    "Programming/Python": [
+        "Python", "Django", "Flask", "PyTorch", "TensorFlow", "Matplotlib", "Modules and Libraries", "Projects",
+        "Programming", "Web Scraping", "Beautiful Soup",
+    ],
+    "Podcast/Talk": ["Podcast", "DeepMind: The Podcast", "Lex Fridman", "Our Story"],
+    "Other": ["Gardening", None],
+}
+
+
+def test_every_topic_keyword(spark):
+    rows = [(n, t) for t, names in TOPIC_NAMES.items() for n in names]
+    df = spark.createDataFrame(rows, "playlist_name string, expected string")
+    wrong = transcripts.with_topic(df).where("topic <> expected").collect()
+    assert wrong == []
+
+
 def test_first_of_copies(spark):
     df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (9, "z"), (5, "z")], "doc_id long, transcript string")
     assert {r["doc_id"] for r in transcripts.first_of_copies(df).collect()} == {1, 2, 5}
