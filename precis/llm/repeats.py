@@ -179,7 +179,8 @@ def _cut_slices(depth: int):
             owner = np.repeat(np.arange(len(docs)), np.diff(offsets))
             wanted = np.unique(_pair(values[offsets[0]:offsets[-1]], owner))
             for bucket, text, first, count in window_runs(data, starts, stops, depth):
-                hit = np.isin(_pair(bucket, text), wanted)
+                pairs = _pair(bucket, text)
+                hit = wanted[np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)] == pairs
                 for b, t, at, n in zip(bucket[hit].tolist(), text[hit].tolist(), first[hit].tolist(), count[hit].tolist(), strict=True):
                     piece = raw[at:at + n + depth - 1]
                     doc, start = docs[t], at - int(starts[t])
