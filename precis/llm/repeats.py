@@ -157,6 +157,15 @@ class _Out:
     def add(self, dealt, slice_, doc, rid, start, stop) -> None:
         self.rows.append((dealt, slice_, doc, rid, start, stop))
 
+    def settle(self, doc, rid, start, stop) -> None:
+        """A span to be removed; it is joined with the row before if it continues that one's span."""
+        if self.rows:
+            dealt, piece, last_doc, last_rid, first, end = self.rows[-1]
+            if piece is None and last_doc == doc and last_rid == rid and first <= start <= end:
+                self.rows[-1] = (dealt, None, doc, rid, first, max(stop, end))
+                return
+        self.rows.append((rid ^ start, None, doc, rid, start, stop))
+
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         columns = list(zip(*self.rows, strict=True)) or [()] * 6
@@ -186,7 +195,7 @@ def _cut_slices(depth: int):
                     doc, start = docs[t], at - int(starts[t])
                     earlier = seen.get(piece)
                     if earlier is not None and earlier < doc:
-                        out.add(rids[t] ^ start, None, doc, rids[t], start, start + len(piece))
+                        out.settle(doc, rids[t], start, start + len(piece))
                     else:
                         if len(seen) >= _SEEN:
                             seen.clear()
@@ -330,14 +339,24 @@ def repeated_spans(docs: DataFrame, depth: int = 50, doc_id: str = "doc_id", tex
     suffixes = source.mapInArrow(_first_digit(depth), "dealt long, bucket long, doc long")
     shared = suffixes.repartition("dealt").sortWithinPartitions("dealt", "doc")
     shared = written(shared.mapInArrow(_shared_buckets, "doc long, bucket long"), "shared-buckets")
+    # A text that a smaller document has too is repeated as a whole; only one of them has to be sorted.
+    digests = source.select("doc", F.xxhash64("text").alias("rid"), F.octet_length("text").alias("stop"),
+                            F.unhex(F.sha2("text", 256)).alias("digest"))
+    digests = written(digests, "digests")
+    first_of = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = written(digests.join(first_of, "digest").filter("doc > first").select("doc", "rid", "stop"), "copies")
     lists = shared.groupBy("doc").agg(F.collect_set("bucket").alias("buckets"))
+    # Rows that share an id with a copy but have another text stay.
+    other = digests.join(copies.select("doc", "rid"), ["doc", "rid"], "left_anti").select("doc").distinct()
+    lists = lists.join(other, "doc", "left_semi")
     keyed = source.withColumn("rid", F.xxhash64("text")).join(lists, "doc").select("doc", "text", "rid", "buckets")
     slices = keyed.mapInArrow(_cut_slices(depth), _SLICES)
     ordered = slices.repartition("dealt").sortWithinPartitions("dealt", "doc")
     first = written(ordered.mapInArrow(_sort_buckets(depth), _SLICES), "bucket-spans")
     again = first.filter(F.col("slice").isNotNull()).repartition("dealt").sortWithinPartitions("dealt", "doc")
     spans = first.filter(F.col("slice").isNull()).unionByName(again.mapInArrow(_sort_buckets(depth), _SLICES))
-    return spans.filter(F.col("rid").isNotNull()).select("doc", "rid", "start", "stop")
+    spans = spans.filter(F.col("rid").isNotNull()).select("doc", "rid", "start", "stop")
+    return spans.unionByName(copies.select("doc", "rid", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop")))
 
 
 FIELDS = {
