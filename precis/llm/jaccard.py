@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +29,12 @@ from precis.llm.components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
-_CACHED_WORDS = 300_000
+_TOGETHER = 1 << 20  # bytes of text that are hashed at once
 _COUNTED = 4_000_000  # n-grams that a task counts at once
 _HEAVY = 1 << 18  # bound of the table of frequent n-grams
 _BLOCK = 2048  # entries in a block of an index list
 _OUT = 100_000
+_EXPANDED = 1_000_000  # pairs that are looked at together
 
 
 @dataclass(frozen=True)
@@ -45,37 +45,87 @@ class Settings:
     percent: int = 80
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+class _Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, as long as any group of texts so far."""
 
+    base = 0x9DDFEA08EB382D69
 
-def ngram_set(text: str | None, n: int, hashes: _Hashes) -> np.ndarray:
-    """Sorted 64-bit hashes of the different n-grams; a shorter text is one n-gram, an empty one none.
+    def __init__(self) -> None:
+        self.up = self.down = np.zeros(0, np.uint64)
 
-    Words are runs of anything but ASCII white space, with A-Z lower-cased.
-    """
-    words = text.encode().lower().split() if text else ()
-    if not words:
-        return np.zeros(0, np.int64)
-    values = np.array([hashes[w] for w in words], dtype=np.uint64)
-    width = min(n, len(values))
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            one = np.array([1], np.uint64)
+            step = np.full(n, self.base, np.uint64), np.full(n, pow(self.base, -1, 2**64), np.uint64)
+            self.up, self.down = (np.cumprod(np.concatenate([one, x]), dtype=np.uint64) for x in step)
+        return self.up[:n], self.down
+
+
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _words(data: np.ndarray, starts: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word in a buffer of texts that begin at ``starts``."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[starts] = edge[0] = edge[-1] = True
+    blank = _SPACE[data]
+    left = np.append(True, blank[:-1]) | edge[:-1]
+    right = np.append(blank[1:], True) | edge[1:]
+    first, last = np.flatnonzero(~blank & left), np.flatnonzero(~blank & right) + 1
+    up, down = powers.get(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER[data] + np.uint64(1)) * up, out=sums[1:])
+    value = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _FACTORS[6]
+    value ^= value >> np.uint64(32)
+    value *= _FACTORS[4]
+    value ^= value >> np.uint64(29)
+    return value, np.searchsorted(starts, first, side="right") - 1
+
+
+def _grams(values: np.ndarray, width: int) -> np.ndarray:
     total = np.full(len(values) - width + 1, width, dtype=np.uint64)
     for k in range(width):
         total += values[k:len(values) - width + 1 + k] * _FACTORS[k]
         total ^= total >> np.uint64(31)
     total *= _FACTORS[3]
-    total ^= total >> np.uint64(32)
-    return np.unique(total.view(np.int64))
+    return total ^ (total >> np.uint64(32))
+
+
+def ngram_sets(column: pa.Array, n: int, powers: _Powers) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its different n-grams.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased. A shorter text is one
+    n-gram, an empty or null one has none. Texts are hashed in groups of about a megabyte.
+    """
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _TOGETHER, side="right")) - 1)
+        part, starts = data[offsets[at]:offsets[end]], offsets[at:end] - offsets[at]
+        if not len(part):
+            yield from (np.zeros(0, np.int64) for _ in range(at, end))
+            at = end
+            continue
+        words, owner = _words(part, starts, powers)
+        edges = np.searchsorted(owner, np.arange(end - at + 1))
+        grams = _grams(words, n) if len(words) >= n else np.zeros(0, np.uint64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = grams[a:b - n + 1] if b - a >= n else _grams(words[a:b], b - a) if b > a else grams[:0]
+            own = np.sort(own.view(np.int64))
+            yield own if len(own) < 2 else own[np.append(True, own[1:] != own[:-1])]
+        at = end
 
 
 def _describe(n: int):
     """A row of size and digest for each document, and rows of n-grams that are frequent in the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = _Hashes(), [], 0, set()
+        powers, held, size, seen = _Powers(), [], 0, set()
         names = ["doc", "n", "d1", "d2", "gram", "count"]
 
         def frequent() -> Iterator[pa.RecordBatch]:
@@ -88,8 +138,7 @@ def _describe(n: int):
 
         for batch in batches:
             sizes, digests = [], []
-            for value in batch.column(1):
-                grams = ngram_set(value.as_py(), n, hashes)
+            for grams in ngram_sets(batch.column(1), n, powers):
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 sizes.append(len(grams))
                 digests.append(digest)
@@ -114,12 +163,11 @@ def _describe(n: int):
 def _arrays(n: int, percent: int, heavy=None):
     """The whole set of each document, or with ``heavy`` (grams and counts) its prefix in list order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        powers = _Powers()
         table, counts = heavy.value if heavy is not None else (None, None)
         for batch in batches:
             sizes, made = [], []
-            for value in batch.column(1):
-                grams = ngram_set(value.as_py(), n, hashes)
+            for grams in ngram_sets(batch.column(1), n, powers):
                 sizes.append(len(grams))
                 if table is not None and len(grams):
                     length = len(grams) - (percent * len(grams) + 99) // 100 + 1
@@ -166,37 +214,43 @@ def _needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The rows of each key (the first ``keys`` columns) as arrays; rows come in the order of the key."""
-    held: list[list[np.ndarray]] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows, cut where the first ``keys`` columns change. Rows come in the order of the key,
+    and no key has more rows than two blocks, which bounds what is carried to the next batch."""
+    held: list[np.ndarray] | None = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         if not len(columns[0]):
             continue
-        change = np.zeros(len(columns[0]) - 1, dtype=bool)
-        for key in columns[:keys]:
-            change |= key[1:] != key[:-1]
-        parts = np.split(np.arange(len(columns[0])), np.flatnonzero(change) + 1)
-        for part in parts:
-            piece = [c[part[0]:part[-1] + 1] for c in columns]
-            if held and any(held[-1][k][0] != piece[k][0] for k in range(keys)):
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            held.append(piece)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _batches(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for arrays in found:
-        held.append(arrays)
-        size += len(arrays[0])
-        if size >= _OUT:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+        cut = int(_edges(columns[:keys])[-1])
+        if cut:
+            yield [c[:cut] for c in columns]
+        held = [c[cut:] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _edges(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a new key begins."""
+    change = np.ones(len(keys[0]), dtype=bool)
+    change[1:] = False
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(change)
+
+
+def _first_of_size(group: np.ndarray, n: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Index of the first row in the group of each row whose size is at least ``least``."""
+    span = int(n.max()) + 1
+    return np.searchsorted(group * span + n, group * span + least)
+
+
+def _pairs_out(one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(one), _OUT):
+        a, b = one[at:at + _OUT], two[at:at + _OUT]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _fits(n1, p1, n2, p2, percent: int):
@@ -210,40 +264,59 @@ def _fits(n1, p1, n2, p2, percent: int):
 
 def _leaders(percent: int):
     """In each block: every set with the first one of compatible size, and with its predecessor."""
-    def pairs(batches):
-        for _, _, doc, n, pos in _groups(batches, 2):
-            first = np.searchsorted(n, -(-percent * n // 100))
-            index = np.arange(len(doc))
-            for partner in (first, np.maximum(index - 1, 0)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, block, doc, n, pos in _whole_groups(batches, 2):
+            edges = _edges([gram, block])
+            group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(gram))))
+            index = np.arange(len(gram))
+            first = _first_of_size(group, n, -(-percent * n // 100))
+            for partner in (first, np.maximum(index - 1, edges[group])):
                 ok = (partner != index) & (doc[partner] != doc) & _fits(n[partner], pos[partner], n, pos, percent)
-                a, b = doc[partner[ok]], doc[ok]
-                yield np.minimum(a, b), np.maximum(a, b)
+                yield from _pairs_out(doc[partner[ok]], doc[ok])
 
-    return lambda batches: _batches(pairs(batches), ["a", "b"])
+    return run
 
 
 def _open_pairs(percent: int):
-    """In each pair of blocks: all pairs of sets that may be similar and whose components differ."""
-    def pairs(batches):
-        for _, one, two, block, doc, n, pos, label in _groups(batches, 3):
-            left = np.flatnonzero(block == one[0])
-            right = left if one[0] == two[0] else np.flatnonzero(block == two[0])
-            if not len(left) or not len(right):
-                continue
-            if one[0] == two[0] and label.min() == label.max():
+    """In each pair of blocks: all pairs of sets that may be similar and whose components differ.
+
+    Of two sets the smaller one (or the earlier, if equal) must have the n-gram so early that it can
+    still reach the overlap; only such entries are partners. A block whose sets are all in one
+    component is skipped, and of the others what is too small or listed too late.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, 3):
+            edges = _edges(columns[:3])
+            lengths = np.diff(np.append(edges, len(columns[0])))
+            label = columns[7]
+            mixed = np.minimum.reduceat(label, edges) != np.maximum.reduceat(label, edges)
+            keep = np.repeat(mixed, lengths)
+            gram, one, two, block, doc, n, pos, label = (c[keep] for c in columns)
+            if not len(doc):
                 continue
-            # The block as a whole: the largest size here against the smallest there, the lowest positions.
-            if n[left].max() < -(-percent * n[right].min() // 100):
+            group = np.repeat(np.arange(int(mixed.sum())), lengths[mixed])
+            early = np.flatnonzero(pos <= n - _needed(n, n, percent))
+            if not len(early):
                 continue
-            for y in right:
-                others = left[left < y] if one[0] == two[0] else left
-                others = others[(label[others] != label[y]) & (doc[others] != doc[y])]
-                others = others[_fits(n[others], pos[others], n[y], pos[y], percent)]
-                if len(others):
-                    a, b = np.minimum(doc[others], doc[y]), np.maximum(doc[others], doc[y])
-                    yield a, b
-
-    return lambda batches: _batches(pairs(batches), ["a", "b"])
+            span = int(n.max()) + 1
+            low = np.searchsorted(group[early] * span + n[early], group * span + -(-percent * n // 100))
+            high = np.searchsorted(early, np.arange(len(doc)))
+            count = np.maximum(high - low, 0)
+            ends = np.cumsum(count)
+            at = 0
+            while at < len(doc):
+                before = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + _EXPANDED, side="right")))
+                y = np.repeat(np.arange(at, stop), count[at:stop])
+                offset = np.arange(len(y)) - np.repeat(ends[at:stop] - count[at:stop] - before, count[at:stop])
+                x = early[low[y] + offset]
+                ok = (label[x] != label[y]) & (doc[x] != doc[y]) & ((block[x] != block[y]) | (one[y] == two[y]))
+                x, y = x[ok], y[ok]
+                ok = _fits(n[x], pos[x], n[y], pos[y], percent)
+                yield from _pairs_out(doc[x[ok]], doc[y[ok]])
+                at = stop
+
+    return run
 
 
 def _overlapping(pairs: DataFrame, arrays: DataFrame, test) -> DataFrame:
