@@ -3,8 +3,8 @@
 * Equal sets are one class; only its representative takes part.
 * Index lists: a set's n-grams are ordered from rare to frequent, and only as many of the rarest as two
   similar sets must share one of are listed. Lists are cut into blocks in the order of set size and
-  position. A pair of blocks is skipped as a whole if sizes or positions rule out enough overlap, and
-  so is every pair within.
+  position, and what sizes or positions rule out is skipped. Of the pairs that are left, a bound from
+  parity bits is checked before their sets are fetched.
 * Answers of similar sets: first each set is compared with the one set that it shares most lists with.
   If they are similar, it takes over that set's answers, its component, and from then on only those
   pairs are looked at whose components differ.
@@ -122,11 +122,48 @@ def ngram_sets(column: pa.Array, n: int, powers: _Powers) -> Iterator[np.ndarray
         at = end
 
 
+def parity_bits(grams: np.ndarray) -> bytes:
+    """Of about two buckets for each n-gram, whether the number of n-grams in it is odd.
+
+    Where two sets have different bits they have different n-grams, so the number of such bits is a lower
+    bound of their symmetric difference. A longer field folds to a shorter one by exclusive or.
+    """
+    width = 64
+    while width < 2 * len(grams):
+        width *= 2
+    bucket = grams.view(np.uint64) >> np.uint64(17) & np.uint64(width - 1)
+    odd = np.bincount(bucket.astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def different_bits(one: bytes, two: bytes) -> int:
+    while len(one) != len(two):
+        if len(one) < len(two):
+            one, two = two, one
+        half = len(one) // 2
+        one = (int.from_bytes(one[:half]) ^ int.from_bytes(one[half:])).to_bytes(half)
+    return (int.from_bytes(one) ^ int.from_bytes(two)).bit_count()
+
+
+def _plausible(percent: int):
+    """The pairs whose parity bits leave enough room for their overlap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.array([different_bits(x, y) for x, y in zip(
+                batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            ok = pa.array(na + nb - apart >= 2 * _needed(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _describe(n: int):
-    """A row of size and digest for each document, and rows of n-grams that are frequent in the task."""
+    """A row of size, digest and parity bits for each document, and rows of n-grams that are frequent in
+    the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size, seen = _Powers(), [], 0, set()
-        names = ["doc", "n", "d1", "d2", "gram", "count"]
+        names = ["doc", "n", "d1", "d2", "bits", "gram", "count"]
 
         def frequent() -> Iterator[pa.RecordBatch]:
             if held:
@@ -134,14 +171,16 @@ def _describe(n: int):
                 often = counts >= 4
                 none = pa.nulls(int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none, none, pa.array(grams[often]), pa.array(counts[often])], names=names)
+                    [none, none, none, none, pa.nulls(int(often.sum()), pa.binary()), pa.array(grams[often]), pa.array(counts[often])],
+                    names=names)
 
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, bits = [], [], []
             for grams in ngram_sets(batch.column(1), n, powers):
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 sizes.append(len(grams))
                 digests.append(digest)
+                bits.append(parity_bits(grams))
                 if digest not in seen:
                     seen.add(digest)
                     held.append(grams)
@@ -153,7 +192,8 @@ def _describe(n: int):
             digests = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), none, none],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                 pa.array(bits, pa.binary()), none, none],
                 names=names)
         yield from frequent()
 
@@ -335,7 +375,7 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
     """
     spark, s = docs.sparkSession, settings
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    described = source.mapInArrow(_describe(s.n), "doc long, n long, d1 long, d2 long, gram long, count long")
+    described = source.mapInArrow(_describe(s.n), "doc long, n long, d1 long, d2 long, bits binary, gram long, count long")
     described = written(described, "set-digests")
     rows = described.filter("n is not null").select("doc", "n", "d1", "d2")
     classes = rows.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
@@ -352,10 +392,7 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
     lists = lists.mapInArrow(_shared_lists, "gram long, doc long, n long, pos long, block long")
     lists = written(lists, "index-lists")
 
-    ids = lists.select("doc").distinct()
-    # The rows of a representative may come from several texts under one id; all of them are compared.
-    texts = source.join(ids, "doc", "left_semi")
-    sets = written(texts.mapInArrow(_arrays(s.n, s.percent), kind).filter("n > 0"), "sets")
+    bits = described.filter("n > 0 and doc is not null").select("doc", "n", "bits")
 
     blocks = lists.select("gram", "block", "doc", "n", "pos").repartition("gram", "block")
     first = blocks.sortWithinPartitions("gram", "block", "n", "pos", "doc").mapInArrow(_leaders(s.percent), "a long, b long")
@@ -367,7 +404,18 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
         common = F.size(F.array_intersect(ga, gb))
         return 100 * common >= s.percent * (na + nb - common)
 
-    close = written(_overlapping(best, sets, similar), "close-pairs")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar: first by bits, then the remaining ones by their whole sets."""
+        one, two = (bits.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+        met = written(met.mapInArrow(_plausible(s.percent), "a long, b long").distinct(), "plausible-pairs")
+        ids = met.select(F.col("a").alias("doc")).union(met.select("b")).distinct()
+        # The rows of a document may hold several texts under one id; all of them are compared.
+        texts = source.join(ids, "doc", "left_semi")
+        sets = written(texts.mapInArrow(_arrays(s.n, s.percent), kind).filter("n > 0"), "sets")
+        return written(_overlapping(met, sets, similar), "similar-pairs")
+
+    close = linked(best)
     labels = written(components(close), "first-components")
 
     labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
@@ -380,7 +428,7 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
     placed = placed.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n", "pos", "doc")
     pairs = placed.mapInArrow(_open_pairs(s.percent), "a long, b long").distinct()
     pairs = written(pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
-    links = written(_overlapping(pairs, sets, similar), "links").union(close)
+    links = linked(pairs).union(close)
 
     final = components(links).withColumnsRenamed({"node": "rep"})
     known = classes.join(final, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
