@@ -86,9 +86,10 @@ def fingerprints_with_edits(docs: DataFrame, n: int = 5, doc_id: str = "doc_id",
     document, and as someone's next document the one whose needed text sorts first stands for them. A
     single document is its own next one; an empty table gives an empty table.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    plain = plain.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
-    links = _following(plain.select("key", "text"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE))
+    plain = docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    links = _following(plain)
+    # Both joins read these three columns by this key, so one shuffle serves them.
     printed = plain.withColumn("fingerprint", fingerprint(F.col("text"), n))
     following = printed.join(links.withColumnRenamed("key", "of"), F.col("key") == F.col("next_key"))
     heads = following.groupBy(F.col("of").alias("key")).agg(F.min(F.struct(
@@ -98,7 +99,8 @@ def fingerprints_with_edits(docs: DataFrame, n: int = 5, doc_id: str = "doc_id",
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third),
         F.substring(F.col("after.head"), F.lit(1), third))
-    done = joined.select("doc_id", "n_chars", "fingerprint", F.col("after.next").alias("next"), edited.alias("edited"))
+    own_id = F.when(F.col("key") != _NONE, F.col("key")).alias("doc_id")
+    done = joined.select(own_id, "n_chars", "fingerprint", F.col("after.next").alias("next"), edited.alias("edited"))
     done = done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next",
                        fingerprint(F.col("edited"), n).alias("edited_fingerprint"))
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
