@@ -10,6 +10,7 @@ from precis.llm import (
     bpe, fingerprints, jaccard, language, mixing, repeats, shards, topk, toxicity, urls,
 )
 from precis.llm.common import id_remainder, table
+from precis.llm.oracle import ORACLES
 
 URL_RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -86,4 +87,5 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "URL_RULES"]
