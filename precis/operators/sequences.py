@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
 from precis.functions.text import WORD
+from precis.sources import store
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -19,7 +20,7 @@ def _word_array(column: str) -> Column:
 
 
 def fit_vocabulary(pairs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """``(word, id)``: the ``size`` most frequent words of documents and summaries."""
+    """``(word, id)``: the ``size`` most frequent words of documents and summaries; all others are unknown."""
     every = pairs.select(F.explode(_word_array("document")).alias("word")).unionAll(
         pairs.select(F.explode(_word_array("summary")).alias("word"))
     )
@@ -27,21 +28,21 @@ def fit_vocabulary(pairs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
         every.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "word").limit(size)
     )
-    # At most ``size`` rows are left to number.
+    # At most ``size`` rows are left to number. Written, because each side of the pairs reads it.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
-    return common.select("word", (place + (FIRST_WORD_ID - 1)).alias("id"))
+    return store.staged(common.select("word", (place + (FIRST_WORD_ID - 1)).alias("id")), "vocabulary")
 
 
 def to_padded_ids(pairs: DataFrame, vocabulary: DataFrame, column: str, length: int) -> DataFrame:
     """``(doc_id, ids)`` of exactly ``length`` ids: cut, or filled up with the padding id.
 
-    The vocabulary has a fixed largest size, which bounds the broadcast. Words past ``length`` are
-    cut before they are exploded.
+    The join carries no hint; the planner broadcasts the vocabulary if it is small. Words past
+    ``length`` are cut before they are exploded.
     """
     rows = pairs.select(
         "doc_id", F.posexplode_outer(F.slice(_word_array(column), 1, length)).alias("pos", "word")
     )
-    ids = rows.join(F.broadcast(vocabulary), "word", "left")
+    ids = rows.join(vocabulary, "word", "left")
     in_order = F.sort_array(
         F.collect_list(F.when(
             F.col("pos").isNotNull(),

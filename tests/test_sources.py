@@ -61,6 +61,25 @@ def test_annotation_sheet(spark, tmp_path):
     assert back["lecture_section"] == '["a b","c"]' and not back["paraphrased_summary"]
 
 
+def test_run_scope_removes_its_tables(spark):
+    with store.run_scope(spark) as folder:
+        df = store.staged(spark.range(7), "seven")
+        assert df.count() == 7 and files.exists(spark, folder)
+        assert all(f.startswith("file:") and "/run-" in f for f in df.inputFiles())
+    assert not files.exists(spark, folder)
+    assert "/run-" not in store.fresh_path(spark, "x")
+
+
+def test_csv_without_line_breaks_can_be_split(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('file_name,sentence\na,"x, y"\nb,\n', encoding="utf-8")
+    from precis import schemas
+
+    for multi_line in (True, False):
+        got = files.read_csv(spark, str(path), schemas.HAND_LABELS, multi_line).orderBy("file_name").collect()
+        assert [tuple(r) for r in got] == [("a", "x, y"), ("b", None)]
+
+
 def test_shared_folder_is_the_session_setting(spark):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = store.staged(spark.range(5), "five")
