@@ -19,7 +19,7 @@ from precis.sources import files, store
 
 # Bounds of the labelled rows that a classifier is fitted on, by the cost of its fit. Vocabulary, trees,
 # depth, layers and iterations are the defaults of the operators; scoring always covers all rows.
-FIT_ROWS = {"nb": 100_000, "svm": 20_000, "logreg": 20_000, "linreg": 20_000, "rf": 500, "ffn": 1_000}
+FIT_ROWS = {"nb": 100_000, "svm": 20_000, "logreg": 20_000, "linreg": 20_000, "rf": 500, "ffn": 500}
 
 
 # --- cleaning, sentences, topics -------------------------------------------------------------
