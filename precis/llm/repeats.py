@@ -246,8 +246,11 @@ def smallest_docs(slices: list[bytes], buckets: np.ndarray, docs: np.ndarray, de
     return np.split(least, first[1:])
 
 
-def _sort_buckets(depth: int):
-    """From rows in the order of (dealt, doc): the spans to be removed; rows of too large buckets go on."""
+def _sort_buckets(depth: int, again: bool = False):
+    """From rows in the order of (dealt, doc): the spans to be removed; rows of too large buckets go on.
+
+    In the second pass (``again``) a bucket is one window, so none is too large.
+    """
     def settle(rows: list[tuple], carried: int, out: _Out) -> list[tuple]:
         """Sort whole buckets (or, with ``carried`` slices of an earlier part, the next part of one)."""
         distinct: dict[tuple[int, bytes], int] = {}
@@ -303,7 +306,7 @@ def _sort_buckets(depth: int):
                 if row[1] is None:
                     out.add(None, *row[1:])
                     continue
-                if row[0] == large and len(row[1]) > depth:
+                if row[0] == large:
                     windows([row], out, seen)
                     continue
                 if len(rows) - carried >= _ROWS and row[0] != rows[-1][0]:
@@ -312,8 +315,9 @@ def _sort_buckets(depth: int):
                 elif len(rows) - carried >= 2 * _ROWS:
                     rows = settle(rows, carried, out)
                     carried = len(rows)
-                    if carried > _BUCKET and len(row[1]) > depth:
-                        # Windows seen so far go on as sources; the rest of the bucket follows them.
+                    if carried > _BUCKET and not again:
+                        # Windows seen so far go on as sources; the rest of the bucket, whatever the
+                        # length of its slices, follows them.
                         large, seen = row[0], {}
                         sources = [(k, piece, doc, None, 0, 0) for k, piece, doc, *_ in rows]
                         windows(sources, out, seen)
@@ -354,7 +358,7 @@ def repeated_spans(docs: DataFrame, depth: int = 50, doc_id: str = "doc_id", tex
     ordered = slices.repartition("dealt").sortWithinPartitions("dealt", "doc")
     first = written(ordered.mapInArrow(_sort_buckets(depth), _SLICES), "bucket-spans")
     again = first.filter(F.col("slice").isNotNull()).repartition("dealt").sortWithinPartitions("dealt", "doc")
-    spans = first.filter(F.col("slice").isNull()).unionByName(again.mapInArrow(_sort_buckets(depth), _SLICES))
+    spans = first.filter(F.col("slice").isNull()).unionByName(again.mapInArrow(_sort_buckets(depth, again=True), _SLICES))
     spans = spans.filter(F.col("rid").isNotNull()).select("doc", "rid", "start", "stop")
     return spans.unionByName(copies.select("doc", "rid", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop")))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
@@ -82,3 +83,29 @@ def test_clashing_columns_and_text(spark):
         [(1, "é" * 60, "a"), (2, "x" + "é" * 60 + "y", "b")], "doc_id long, text string, kept string")
     got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, ("doc_id", "kept", "text"), ("kept", "kept_text")).collect()}
     assert bytes(got[2]["kept"]) == b"xy" and got[2]["kept_text"] == "xy" and got[1]["kept_text"] == "é" * 60
+
+
+def test_one_window_slices_of_a_large_bucket(monkeypatch):
+    """The same slice of one window before and after the bucket is dealt again, and inside longer ones."""
+    for name, value in {"_ROWS": 20, "_BUCKET": 10}.items():
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(8)
+    made = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    early, late, inside = made(50), made(50), made(50)
+    slices = [made(60) for _ in range(300)]
+    slices[3], slices[150], slices[200] = early, made(4) + early + made(4), early
+    slices[160], slices[250] = late, late
+    slices[5], slices[220] = made(9) + inside, inside
+    rows = [(1, piece, doc, doc, 0, len(piece)) for doc, piece in enumerate(slices)]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(rows, **options):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdef"))
+        return [r for b in repeats._sort_buckets(50, **options)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    first = run(rows)
+    again = sorted((r for r in first if r[1] is not None), key=lambda r: (r[0], r[2]))
+    assert again
+    spans = [r for r in first if r[1] is None] + run(again, again=True)
+    assert sorted(r[2:] for r in spans if r[1] is None and r[3] is not None) == [
+        (150, 150, 4, 54), (200, 200, 0, 50), (220, 220, 0, 50), (250, 250, 0, 50)]
