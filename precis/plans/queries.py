@@ -413,9 +413,10 @@ NETWORK_TERMS = {"max_n": 2, "max_features": fixed.MAX_FEATURES}
 
 def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
     _, labeled = _labeled(spark, folder)
-    train = training.fit_sample(labeled.where(F.col("part") == "train"), FIT_ROWS["rf"])
+    train = labeled.where(F.col("part") == "train")
     vectorizer = models.fit_vectorizer(train, text.english_stop_words())
-    vectors = models.vectorize(vectorizer, train).select("doc_id", "sentence_id", "label", "features")
+    sample = training.fit_sample(train, FIT_ROWS["rf"])
+    vectors = models.vectorize(vectorizer, sample).select("doc_id", "sentence_id", "label", "features")
     found = models.out_of_bag_score(vectors)
     return found.withColumn("oob_score", F.round("oob_score", 6))
 
