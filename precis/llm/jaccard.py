@@ -5,9 +5,10 @@
   similar sets must share one of are listed. Lists are cut into blocks in the order of set size and
   position, and what sizes or positions rule out is skipped. Of the pairs that are left, a bound from
   parity bits is checked before their sets are fetched.
-* Answers of similar sets: first each set is compared with the one set that it shares most lists with.
-  If they are similar, it takes over that set's answers, its component, and from then on only those
-  pairs are looked at whose components differ.
+* Where only components are wanted (``similar_sets``), each set is first compared with the one set that it
+  shares most lists with. If they are similar, it takes over that set's component, and from then on only
+  those pairs are looked at whose components differ. ``linked_sets`` looks at the pairs inside components
+  too and finds every link.
 
 The frequency order is made from counts over all documents, merged from per-task summaries. Any order
 gives exact results; the order only decides how long the lists are.
@@ -367,13 +368,12 @@ def _overlapping(pairs: DataFrame, arrays: DataFrame, test) -> DataFrame:
     return joined.filter(test(F.col("na"), F.col("nb"), F.col("ga"), F.col("gb"))).select("a", "b").distinct()
 
 
-def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, n, component`` of every row: set size and smallest document that links lead to.
+def _compared(docs: DataFrame, s: Settings, doc_id: str, text: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``doc, n, d1, d2``; classes of equal sets ``d1, d2, rep``; links ``a, b`` of representatives.
 
-    A null or blank text has no set: size 0, linked with nothing. A row with a null id has a null
-    component and links nothing. Rows that share an id are one document, linked if any of its texts is.
+    The links suffice for the components; with ``every`` they are all there are.
     """
-    spark, s = docs.sparkSession, settings
+    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     described = source.mapInArrow(_describe(s.n), "doc long, n long, d1 long, d2 long, bits binary, gram long, count long")
     described = written(described, "set-digests")
@@ -394,12 +394,6 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
 
     bits = described.filter("n > 0 and doc is not null").select("doc", "n", "bits")
 
-    blocks = lists.select("gram", "block", "doc", "n", "pos").repartition("gram", "block")
-    first = blocks.sortWithinPartitions("gram", "block", "n", "pos", "doc").mapInArrow(_leaders(s.percent), "a long, b long")
-    first = first.groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    best = written(best.select("a", "b"), "best-partners")
-
     def similar(na: Column, nb: Column, ga: Column, gb: Column) -> Column:
         common = F.size(F.array_intersect(ga, gb))
         return 100 * common >= s.percent * (na + nb - common)
@@ -415,11 +409,19 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
         sets = written(texts.mapInArrow(_arrays(s.n, s.percent), kind).filter("n > 0"), "sets")
         return written(_overlapping(met, sets, similar), "similar-pairs")
 
-    close = linked(best)
-    labels = written(components(close), "first-components")
+    if every:
+        labelled = lists.withColumn("label", F.col("doc"))
+    else:
+        blocks = lists.select("gram", "block", "doc", "n", "pos").repartition("gram", "block")
+        first = blocks.sortWithinPartitions("gram", "block", "n", "pos", "doc").mapInArrow(_leaders(s.percent), "a long, b long")
+        first = first.groupBy("a", "b").agg(F.count("*").alias("c"))
+        best = first.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+        best = written(best.select("a", "b"), "best-partners")
+        close = linked(best)
+        labels = written(components(close), "first-components")
+        labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+        labelled = labelled.withColumn("label", F.coalesce("component", "doc"))
 
-    labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    labelled = labelled.withColumn("label", F.coalesce("component", "doc"))
     long = lists.groupBy("gram").agg(F.max("block").alias("last")).filter("last > 0")
     placed = labelled.join(long, "gram", "left").withColumn("last", F.coalesce("last", F.lit(0)))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
@@ -427,11 +429,41 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
                            "block", "doc", "n", "pos", "label")
     placed = placed.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n", "pos", "doc")
     pairs = placed.mapInArrow(_open_pairs(s.percent), "a long, b long").distinct()
+    if every:
+        return rows, classes, linked(written(pairs, "pairs"))
     pairs = written(pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
-    links = linked(pairs).union(close)
+    return rows, classes, linked(pairs).union(close)
 
+
+def _of_class(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with ``rep`` and ``component``; rows without a set or an id are their own."""
     final = components(links).withColumnsRenamed({"node": "rep"})
-    known = classes.join(final, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    known = classes.join(final, "rep", "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
     joined = rows.join(known, ["d1", "d2"], "left")
-    return joined.select("doc", "n", F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component")))
-                         .otherwise(F.col("doc")).alias("component"))
+    own = lambda name: F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col(name))).otherwise(F.col("doc"))
+    return joined.select("doc", "n", own("rep").alias("rep"), own("component").alias("component"))
+
+
+def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, n, component`` of every row: set size and smallest document that links lead to.
+
+    A null or blank text has no set: size 0, linked with nothing. A row with a null id has a null
+    component and links nothing. Rows that share an id are one document, linked if any of its texts is.
+    """
+    found = _of_class(*_compared(docs, settings, doc_id, text, every=False))
+    return found.select("doc", "n", "component")
+
+
+def linked_sets(
+    docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Every link, and what it links.
+
+    The first table has a row ``a, b`` (``a < b``) for each two classes of equal sets that are similar,
+    named by their smallest documents. The second is ``doc, n, component`` of :func:`similar_sets` with
+    ``rep``, the name of the row's class, and ``n_links``, the number of links of that class.
+    """
+    rows, classes, links = _compared(docs, settings, doc_id, text, every=True)
+    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    found = _of_class(rows, classes, links).join(ends, "rep", "left")
+    return links, found.select("doc", "n", "component", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -48,7 +48,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.similar_sets(table(spark, sf_dir, "documents"))
+    _, found = jaccard.linked_sets(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 

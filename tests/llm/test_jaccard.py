@@ -68,6 +68,32 @@ def test_equals_brute_force_with_many_blocks(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(jaccard)
 
 
+def brute_links(rows, n=5, percent=80):
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+        grams = frozenset(tuple(words[i:i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+        if doc is not None and grams:
+            sets[grams] = min(sets.get(grams, doc), doc)
+    return {(min(sets[x], sets[y]), max(sets[x], sets[y])) for x in sets for y in sets
+            if sets[x] < sets[y] and 100 * len(x & y) >= percent * len(x | y)}
+
+
+def test_every_link_inside_components(spark):
+    """A family of different near copies, each similar to all others."""
+    base = [f"w{i}" for i in range(200)]
+    rows = fixture() + [(1000 + i, " ".join(base[:2 * i] + ["x"] + base[2 * i + 1:])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links, members = jaccard.linked_sets(docs)
+    expected = brute_links(rows)
+    assert sum(a >= 1000 for a, _ in expected) == 780
+    assert sorted(map(tuple, links.select("a", "b").collect())) == sorted(expected)
+    ends = Counter(x for pair in expected for x in pair)
+    members = members.collect()
+    assert sorted(((r["doc"], r["n"], r["component"]) for r in members), key=str) == brute(rows)
+    assert all(r["n_links"] == ends[r["rep"]] for r in members)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
