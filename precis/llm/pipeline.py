@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm import bpe, jaccard, language, mixing, repeats
-from precis.llm.common import id_remainder
+from precis.llm.common import id_remainder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.3
@@ -24,10 +24,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents only the one with the smallest id stays; the text of a row that
-    repeats an id is compared too, so such rows stay together with the first one."""
+    repeats an id is compared too, so such rows stay together with the first one. Of rows that repeat both,
+    and of equal texts without an id, one stays."""
     found = jaccard.similar_sets(docs)
     gone = found.filter(F.col("component") < F.col("doc")).select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _one_of_equal_rows(docs.join(gone, "doc_id", "left_anti").select(*COLUMNS))
+
+
+def _one_of_equal_rows(docs: DataFrame) -> DataFrame:
+    """One row of each id (or none) and text. Digests are grouped; only rows that repeat are numbered."""
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest), 256)
+    keyed = docs.withColumn("_key", key)
+    repeated = written(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"), "repeated-keys")
+    again = keyed.join(repeated, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    again = written(again, "repeated-rows")
+    first = again.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row")
+    kept = keyed.join(repeated, "_key", "left_anti").unionByName(again.join(first, "_row").drop("_row"))
+    return kept.select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,14 @@ def test_pipeline_on_odd_rows(spark):
         got = docs.collect()
         assert {r["doc_id"] for r in got} <= {r[0] for r in table}
         assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+
+
+def test_one_row_of_repeated_ids_and_of_equal_texts_without_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = [" ".join(f"t{i}w{j}" for j in range(12)) for i in range(4)]
+    rows = [(1, words[0]), (1, words[0]), (1, words[1]), (2, words[0]), (3, words[2]), (4, None), (4, None), (4, "")]
+    rows += [(None, words[3])] * 3 + [(None, words[2]), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], schema).repartition(3)
+    found = pipeline.one_of_each_group(spark, docs, FOLDER)
+    got = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    assert got == Counter(set(rows) - {(2, words[0])})
