@@ -25,8 +25,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shuffle files of this one job when it ends; a later job cannot need them, because it reads the
     written table.
     """
+    return written_to(df, fresh_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """:func:`written` to a path of one's own."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -36,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that no later job reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

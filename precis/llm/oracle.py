@@ -86,9 +86,107 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 FROM bytes LEFT JOIN cut USING (doc_id)
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counted AS MATERIALIZED (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)
+    GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+    SELECT x.lang, x.phrase, x.a, x.c, h.f AS l, t.f AS r, ((2000000::HUGEINT * x.a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+    FROM cuts x JOIN counted h ON h.lang = x.lang AND h.phrase = array_to_string(x.w[1:x.c], ' ')
+    JOIN counted t ON t.lang = x.lang AND t.phrase = array_to_string(x.w[x.c + 1:x.k], ' ')),
+weakest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored) WHERE place = 1),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+            SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) AS t(m) WHERE m < k))
+    GROUP BY ALL),
+ranked AS (
+    SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, encode(x.phrase)) AS rank
+    FROM weakest x LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+_LENGTHS = ", ".join(
+    f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang"))
+MERKLE = f"""
+WITH RECURSIVE coded AS (
+    SELECT *, list_transform(list_filter(string_split(regexp_replace(hex(encode(doc_id::VARCHAR)), '(.)(.)', '\\2\\1', 'g'), ''),
+        lambda x: x <> ''), lambda x: instr('0123456789ABCDEF', x)::BIGINT - 1) AS b FROM documents),
+drawn AS (
+    SELECT *, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 4, {HALVES}[(xor(c, x) & 15) + 1]), 4294967295))::BIGINT % 7 = 0
+        AS tampered FROM coded),
+leaves AS MATERIALIZED (
+    SELECT doc_id, lang, sha256(concat({_LENGTHS}, {{0}}, {{2}})) AS leaf,
+           CASE WHEN tampered THEN sha256(concat({_LENGTHS}, {{1}}, {{2}})) ELSE sha256(concat({_LENGTHS}, {{0}}, {{2}})) END AS other
+    FROM drawn),
+ranked AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves),
+nodes(lang, level, idx, n, digest) AS (
+    SELECT lang, 0, idx, n, leaf FROM ranked
+    UNION ALL
+    SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1
+    GROUP BY lang, level, n, idx // 2),
+subroots AS MATERIALIZED (
+    SELECT lang, level, digest AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS idx, count(*) OVER () AS n
+    FROM nodes WHERE n = 1),
+upper_nodes(level, idx, n, digest) AS (
+    SELECT 0, idx, n, subroot FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper_nodes WHERE n > 1
+    GROUP BY level, n, idx // 2),
+lower_nodes AS MATERIALIZED (SELECT * FROM nodes),
+higher_nodes AS MATERIALIZED (SELECT * FROM upper_nodes),
+walk(doc_id, lang, idx0, level, idx, n, proof, folded) AS (
+    SELECT doc_id, lang, idx, 0, idx, n, '', other FROM ranked
+    UNION ALL
+    SELECT w.doc_id, w.lang, w.idx0, w.level + 1, w.idx // 2, (w.n + 1) // 2, w.proof || coalesce(s.digest, ''),
+           sha256(CASE WHEN w.idx % 2 = 0 THEN w.folded || coalesce(s.digest, '') ELSE s.digest || w.folded END)
+    FROM walk w LEFT JOIN lower_nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.idx = xor(w.idx, 1)
+    WHERE w.n > 1),
+climb(doc_id, lang, idx0, level, idx, n, proof, folded) AS (
+    SELECT w.doc_id, w.lang, w.idx0, 0, r.idx, r.n, w.proof, w.folded
+    FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+    UNION ALL
+    SELECT w.doc_id, w.lang, w.idx0, w.level + 1, w.idx // 2, (w.n + 1) // 2, w.proof || coalesce(s.digest, ''),
+           sha256(CASE WHEN w.idx % 2 = 0 THEN w.folded || coalesce(s.digest, '') ELSE s.digest || w.folded END)
+    FROM climb w LEFT JOIN higher_nodes s ON s.level = w.level AND s.idx = xor(w.idx, 1) WHERE w.n > 1),
+top AS (SELECT digest AS root FROM higher_nodes WHERE n = 1)
+SELECT w.doc_id, k.leaf, r.subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb w JOIN ranked k ON k.lang IS NOT DISTINCT FROM w.lang AND k.idx = w.idx0
+JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang, top WHERE w.n = 1
+""".format(
+    "coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-')",
+    "coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-')",
+    "coalesce(strlen(text)::VARCHAR || ':' || text, '-')")
+
+WARC = """
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digested AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS best FROM paid),
+coded AS (
+    SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest
+    FROM digested)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to FROM coded
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": TOPK,
     "op3_sharding": SHARDS,
     "op6_jaccard_join": JACCARD,
     "op9_suffix_dedup": REPEATS,
+    "op11_collocations": COLLOCATIONS,
+    "op12_merkle": MERKLE,
+    "op13_warc": WARC,
 }

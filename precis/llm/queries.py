@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm import (
-    bpe, fingerprints, jaccard, language, mixing, repeats, shards, topk, toxicity, urls,
+    bpe, fingerprints, jaccard, language, merkle, mixing, phrases, repeats, shards, topk, toxicity, urls, warc,
 )
 from precis.llm.common import id_remainder, table
 from precis.llm.oracle import ORACLES
@@ -75,6 +75,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [F.col(f) for f in merkle.FIELDS]
+    changed = [F.when(drawn, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    other = F.when(drawn, merkle.record_digest(changed)).otherwise(merkle.record_digest(fields))
+    made = merkle.manifest(docs, carried={"other": other})
+    made = made.withColumn("folded_root", merkle.folded(F.col("other"), F.col("proof")))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +108,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
+    "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
 }
 
 __all__ = ["ORACLES", "QUERIES", "URL_RULES"]
