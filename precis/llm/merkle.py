@@ -136,7 +136,7 @@ def _down(slices: list[DataFrame], above: DataFrame, height: int, kind: str) ->
 
     ``above`` has the proof suffix of each root: ``tree, subroot, root, proof``. ``kind`` is the type of ``kept``.
     """
-    arrived = above.withColumn("block", F.lit(0).cast("long"))
+    arrived = written(above.withColumn("block", F.lit(0).cast("long")), "merkle-above")
     fields = f"tree string, block long, kept {kind}, subroot string, root string, proof array<string>"
     for number in reversed(range(len(slices))):
         def blocks(key: tuple, nodes: pa.Table, message: pa.Table) -> pa.Table:
@@ -206,7 +206,7 @@ def manifest(
     none = F.array().cast("array<string>")
     top = roots.select("tree", F.lit("").alias("subroot"), F.col("digest").alias("root"), none.alias("proof"))
     found = _down(upper, top, height, "struct<tree:string>")
-    above = written(found.select(F.col("kept.tree").alias("tree"), "root", "proof"), "merkle-above")
+    above = found.select(F.col("kept.tree").alias("tree"), "root", "proof")
     above = above.join(subroots.withColumnRenamed("digest", "subroot"), "tree")
     above = above.select("tree", "subroot", "root", "proof")
     proofs = _down(slices, above, height, leaves.schema["kept"].dataType.simpleString())
