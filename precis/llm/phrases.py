@@ -49,8 +49,8 @@ class Settings:
 
     least: int = 30
     longest: int = 4
-    shards: int = 4
-    filter_bits: int = 1 << 26
+    shards: int = 3
+    filter_bits: int = 1 << 24
     same_share: int = 80  # hundredths of a phrase's occurrences that a longer phrase holds
     top: int = 2000
 
@@ -118,9 +118,9 @@ def _filter(counts: DataFrame, s: Settings) -> np.ndarray:
     """
     known = counts.filter((F.col("k") < s.longest) & F.col("reached").isNotNull()).select("lang", "phrase")
     rows = known.mapInArrow(_filter_rows(s.filter_bits), "word long, bits long")
-    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     field = np.zeros(s.filter_bits // 64, dtype=np.uint64)
-    field[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    field[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return field
 
 
