@@ -49,7 +49,7 @@ class Settings:
 
     least: int = 30
     longest: int = 4
-    shards: int = 3
+    shards: int = 2
     filter_bits: int = 1 << 24
     same_share: int = 80  # hundredths of a phrase's occurrences that a longer phrase holds
     top: int = 2000
@@ -168,9 +168,9 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.DictionaryArray, np
     first = np.flatnonzero(inside & (np.append(True, ~inside[:-1]) | edge[:-1]))
     last = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1
     owner = np.searchsorted(starts, first, side="right") - 1
-    breaks = np.cumsum(kind == 2)
+    piece = np.searchsorted(np.flatnonzero(kind == 2), first)
     together = np.zeros(len(first), dtype=bool)
-    together[:-1] = (breaks[first[1:]] == breaks[first[:-1]]) & (owner[1:] == owner[:-1])
+    together[:-1] = (piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1])
     letters = _LOWER[data[inside]]
     ends = np.cumsum(last - first)
     offsets = np.append(0, ends).astype(np.int64)
@@ -247,10 +247,10 @@ def _merged(counts: DataFrame | None, found: DataFrame, step: int, s: Settings)
     rows = found.select("lang", "phrase", "k", F.lit(step).alias("first"), F.col("count").alias("total"), none.alias("reached"))
     if counts is not None:
         rows = rows.unionByName(counts)
-    merged = rows.groupBy("lang", "phrase", "k").agg(
-        F.min("first").alias("first"), F.sum("total").alias("total"), F.min("reached").alias("reached"))
+    merged = rows.groupBy("lang", "phrase").agg(
+        F.max("k").alias("k"), F.min("first").alias("first"), F.sum("total").alias("total"), F.min("reached").alias("reached"))
     now = F.when((F.col("k") > 0) & (F.col("total") >= s.least), F.lit(step))
-    kept = merged.withColumn("reached", F.coalesce("reached", now))
+    kept = merged.withColumn("reached", F.coalesce("reached", now)).select("lang", "phrase", "k", "first", "total", "reached")
     open_ = F.col("first") + s.shards - 1 > step
     return kept.filter(F.col("reached").isNotNull() | (F.col("k") == 0) | open_)
 
