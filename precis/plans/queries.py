@@ -11,7 +11,7 @@ from precis import fixed_values as fixed
 from precis import schemas
 from precis.functions import text
 from precis.operators import (
-    chat, evaluation, features, labels, models, naive_bayes, ranking, rouge, sentences, sequences,
+    chat, evaluation, features, forest, labels, models, naive_bayes, ranking, rouge, sentences, sequences,
     splits, summaries, transcripts,
 )
 from precis.plans import inputs, lectures, training
@@ -19,7 +19,7 @@ from precis.sources import files, store
 
 # Bounds of the labelled rows that a classifier is fitted on, by the cost of its fit. Vocabulary, trees,
 # depth, layers and iterations are the defaults of the operators; scoring always covers all rows.
-FIT_ROWS = {"nb": 100_000, "svm": 20_000, "logreg": 20_000, "linreg": 20_000, "rf": 500, "ffn": 500}
+FIT_ROWS = {"nb": 100_000, "svm": 20_000, "logreg": 20_000, "linreg": 20_000, "ffn": 500}
 
 
 # --- cleaning, sentences, topics -------------------------------------------------------------
@@ -411,13 +411,22 @@ def _model_report(name: str, part: str = "test", **params) -> Callable[[SparkSes
 NETWORK_TERMS = {"max_n": 2, "max_features": fixed.MAX_FEATURES}
 
 
-def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
+def _forest_votes(spark: SparkSession, folder: str, parts: tuple[str, ...]) -> DataFrame:
+    """The votes of a forest fitted on all training rows; rows of other parts are held."""
     _, labeled = _labeled(spark, folder)
-    train = labeled.where(F.col("part") == "train")
-    vectorizer = models.fit_vectorizer(train, text.english_stop_words())
-    sample = training.fit_sample(train, FIT_ROWS["rf"])
-    vectors = models.vectorize(vectorizer, sample).select("doc_id", "sentence_id", "label", "features")
-    found = models.out_of_bag_score(vectors)
+    rows = labeled.where(F.col("part").isin(*parts)).withColumn("held", F.col("part") != "train")
+    prepared, n_terms = forest.rows_of(rows, text.english_stop_words(), labeled.where(F.col("part") == "train"))
+    return forest.fit(store.staged(prepared, "forest-input"), n_terms)[1]
+
+
+def rf_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of the forest on the test part, whose rows go down the trees while these grow."""
+    votes = _forest_votes(spark, folder, ("train", "test"))
+    return _rounded(evaluation.classification_report(forest.voted(votes.where("held"))))
+
+
+def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
+    found = forest.out_of_bag(_forest_votes(spark, folder, ("train",)))
     return found.withColumn("oob_score", F.round("oob_score", 6))
 
 
@@ -569,7 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_summary": nb_summary,
     "summary_last_ties": summary_last_ties,
     "nb_summary_rouge_mean": nb_summary_rouge_mean,
-    "rf_report": _model_report("rf"),
+    "rf_report": rf_report,
     "nb_mllib_report": _model_report("nb"),
     "svm_report": _model_report("svm"),
     "logreg_report": _model_report("logreg"),
