@@ -1,14 +1,16 @@
 """Exact Jaccard join of documents on n-grams of words, by skipping with set relations.
 
-* Equal sets are one class; only its representative takes part.
+* Equal sets are one class; only one of them takes part.
 * Index lists: a set's n-grams are ordered from rare to frequent, and only as many of the rarest as two
   similar sets must share one of are listed. Lists are cut into blocks in the order of set size and
-  position, and what sizes or positions rule out is skipped. Of the pairs that are left, a bound from
-  parity bits is checked before their sets are fetched.
-* Where only components are wanted (``similar_sets``), each set is first compared with the one set that it
-  shares most lists with. If they are similar, it takes over that set's component, and from then on only
-  those pairs are looked at whose components differ. ``linked_sets`` looks at the pairs inside components
-  too and finds every link.
+  position, and what sizes or positions rule out is skipped.
+* Set relations: each list has a leader, the set that shares most list entries with others. A set joins the leader it
+  meets most often if they are near enough, and from then on it is known by its difference to the leader. The
+  symmetric difference of two sets of a group is that of their differences to the leader, so the answers of
+  all of them (which links, how many) follow from what distinguishes them, a few n-grams each. Groups are dealt out by
+  pairs of blocks; a task writes down the number of links of each set and its component in the block, not the pairs.
+* Only pairs from different groups are listed one by one; a bound from parity bits is checked before their sets
+  are fetched and compared.
 
 The frequency order is made from counts over all documents, merged from per-task summaries. Any order
 gives exact results; the order only decides how long the lists are.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.llm.common import written
@@ -36,6 +38,9 @@ _HEAVY = 1 << 18  # bound of the table of frequent n-grams
 _BLOCK = 2048  # entries in a block of an index list
 _OUT = 100_000
 _EXPANDED = 1_000_000  # pairs that are looked at together
+_MEMBERS = 1024  # sets in a block of a group
+_COLUMNS = 2048  # n-grams that a block pair multiplies at once
+_NEAR = 25  # a set joins a leader if they differ in at most so many hundredths of both sizes together
 
 
 @dataclass(frozen=True)
@@ -123,6 +128,10 @@ def ngram_sets(column: pa.Array, n: int, powers: _Powers) -> Iterator[np.ndarray
         at = end
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def parity_bits(grams: np.ndarray) -> bytes:
     """Of about two buckets for each n-gram, whether the number of n-grams in it is odd.
 
@@ -146,14 +155,14 @@ def different_bits(one: bytes, two: bytes) -> int:
     return (int.from_bytes(one) ^ int.from_bytes(two)).bit_count()
 
 
-def _plausible(percent: int):
-    """The pairs whose parity bits leave enough room for their overlap."""
+def _bounded(most):
+    """The pairs whose parity bits do not show that they differ in more than ``most(n_a, n_b)`` n-grams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             apart = np.array([different_bits(x, y) for x, y in zip(
                 batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], dtype=np.int64)
-            ok = pa.array(na + nb - apart >= 2 * _needed(na, nb, percent))
+            ok = pa.array(apart <= most(na, nb))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -178,7 +187,7 @@ def _describe(n: int):
         for batch in batches:
             sizes, digests, bits = [], [], []
             for grams in ngram_sets(batch.column(1), n, powers):
-                digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+                digest = _digest(grams)
                 sizes.append(len(grams))
                 digests.append(digest)
                 bits.append(parity_bits(grams))
@@ -207,9 +216,10 @@ def _arrays(n: int, percent: int, heavy=None):
         powers = _Powers()
         table, counts = heavy.value if heavy is not None else (None, None)
         for batch in batches:
-            sizes, made = [], []
+            sizes, made, digests = [], [], []
             for grams in ngram_sets(batch.column(1), n, powers):
                 sizes.append(len(grams))
+                digests.append(_digest(grams))
                 if table is not None and len(grams):
                     length = len(grams) - (percent * len(grams) + 99) // 100 + 1
                     if len(table):
@@ -220,7 +230,10 @@ def _arrays(n: int, percent: int, heavy=None):
             offsets = np.cumsum([0] + [len(g) for g in made]).astype(np.int32)
             values = np.concatenate(made) if made else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=["doc", "n", "grams"])
+            digests = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists],
+                names=["doc", "n", "d1", "d2", "grams"])
 
     return run
 
@@ -303,27 +316,12 @@ def _fits(n1, p1, n2, p2, percent: int):
     return 1 + np.minimum(n1 - 1 - p1, n2 - 1 - p2) >= _needed(n1, n2, percent)
 
 
-def _leaders(percent: int):
-    """In each block: every set with the first one of compatible size, and with its predecessor."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, block, doc, n, pos in _whole_groups(batches, 2):
-            edges = _edges([gram, block])
-            group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(gram))))
-            index = np.arange(len(gram))
-            first = _first_of_size(group, n, -(-percent * n // 100))
-            for partner in (first, np.maximum(index - 1, edges[group])):
-                ok = (partner != index) & (doc[partner] != doc) & _fits(n[partner], pos[partner], n, pos, percent)
-                yield from _pairs_out(doc[partner[ok]], doc[ok])
-
-    return run
-
-
 def _open_pairs(percent: int):
-    """In each pair of blocks: all pairs of sets that may be similar and whose components differ.
+    """In each pair of blocks: all pairs of sets that may be similar and whose groups differ.
 
     Of two sets the smaller one (or the earlier, if equal) must have the n-gram so early that it can
     still reach the overlap; only such entries are partners. A block whose sets are all in one
-    component is skipped, and of the others what is too small or listed too late.
+    group is skipped, and of the others what is too small or listed too late.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 3):
@@ -360,110 +358,206 @@ def _open_pairs(percent: int):
     return run
 
 
-def _overlapping(pairs: DataFrame, arrays: DataFrame, test) -> DataFrame:
-    """The pairs whose arrays pass ``test(n_a, n_b, grams_a, grams_b)``."""
-    one = arrays.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    two = arrays.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.filter(test(F.col("na"), F.col("nb"), F.col("ga"), F.col("gb"))).select("a", "b").distinct()
+def _group_links(percent: int, listed: bool):
+    """In a pair of blocks of a group: which sets are similar, from their differences to the leader.
 
+    Rows ``doc, top, n_links``: the smallest set of its component and the number of its links in this pair of blocks; with
+    ``listed`` the links themselves, as rows ``a, b``.
+    """
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        same = key[1].as_py() == key[2].as_py()
+        table = table.sort_by("doc").combine_chunks()
+        doc, n, block = (table.column(x).to_numpy() for x in ("doc", "n", "block"))
+        lists = table.column("grams").combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        names, number, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # What only one of them differs in is in no common part.
+        column = np.cumsum(count > 1) - 1
+        often = count[number] > 1
+        row, column = np.repeat(np.arange(len(doc)), size)[often], column[number[often]]
+        one = np.arange(len(doc)) if same else np.flatnonzero(block == key[1].as_py())
+        two = one if same else np.flatnonzero(block == key[2].as_py())
+        common = np.zeros((len(one), len(two)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int((count > 1).sum()), _COLUMNS):
+            low, high = np.searchsorted(column, [start, start + _COLUMNS])
+            has = np.zeros((len(doc), _COLUMNS), dtype=np.float32)
+            has[row[low:high], column[low:high] - start] = 1
+            common += has[one] @ has[two].T
+        both = n[one][:, None] + n[two]
+        twice = both - (size[one][:, None] + size[two] - 2 * common.astype(np.int64))  # the overlap, twice
+        linked = 100 * twice >= percent * (2 * both - twice)
+        if same:
+            np.fill_diagonal(linked, False)
+        if listed:
+            a, b = np.nonzero(np.triu(linked) if same else linked)
+            ends = doc[one[a]], doc[two[b]]
+            return pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends)})
+        links = np.zeros(len(doc), dtype=np.int64)
+        links[one] += linked.sum(axis=1)
+        if not same:
+            links[two] += linked.sum(axis=0)
+        top = np.arange(len(doc))
+        while True:
+            new = top.copy()
+            new[one] = np.minimum(new[one], np.where(linked, new[two], len(doc)).min(axis=1, initial=len(doc)))
+            new[two] = np.minimum(new[two], np.where(linked, new[one][:, None], len(doc)).min(axis=0, initial=len(doc)))
+            if np.array_equal(new, top):
+                break
+            top = new
+        some = links > 0
+        return pa.table({"doc": doc[some], "top": doc[top[some]], "n_links": links[some]})
 
-def _compared(docs: DataFrame, s: Settings, doc_id: str, text: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``doc, n, d1, d2``; classes of equal sets ``d1, d2, rep``; links ``a, b`` of representatives.
+    return run
 
-    The links suffice for the components; with ``every`` they are all there are.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    described = source.mapInArrow(_describe(s.n), "doc long, n long, d1 long, d2 long, bits binary, gram long, count long")
-    described = written(described, "set-digests")
-    rows = described.filter("n is not null").select("doc", "n", "d1", "d2")
-    classes = rows.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    heavy = described.filter("n is null").groupBy("gram").agg(F.sum("count").alias("count"))
-    heavy = heavy.filter("count >= 8").orderBy(F.col("count").desc(), "gram").limit(_HEAVY).toPandas().sort_values("gram")
-    shared = spark.sparkContext.broadcast((heavy["gram"].to_numpy(np.int64), heavy["count"].to_numpy(np.int64)))
-
-    reps = classes.select(F.col("rep").alias("doc")).distinct()
-    kind = "doc long, n long, grams array<long>"
-    prefixes = source.filter("doc is not null").mapInArrow(_arrays(s.n, s.percent, shared), kind)
-    entries = prefixes.join(reps, "doc").select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
-    entries = entries.select("gram", "doc", "n", F.col("pos").cast("long").alias("pos"))
-    lists = entries.repartition("gram").sortWithinPartitions("gram", "n", "pos", "doc")
-    lists = lists.mapInArrow(_shared_lists, "gram long, doc long, n long, pos long, block long")
-    lists = written(lists, "index-lists")
-
-    bits = described.filter("n > 0 and doc is not null").select("doc", "n", "bits")
-
-    def similar(na: Column, nb: Column, ga: Column, gb: Column) -> Column:
-        common = F.size(F.array_intersect(ga, gb))
-        return 100 * common >= s.percent * (na + nb - common)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar: first by bits, then the remaining ones by their whole sets."""
-        one, two = (bits.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+
+class _Join:
+    """The tables of a join: ``rows`` (``doc, n, d1, d2``), ``classes`` of equal sets, and what links them."""
+
+    def __init__(self, docs: DataFrame, s: Settings, doc_id: str, text: str):
+        self.s = s
+        self.source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+        described = self.source.mapInArrow(_describe(s.n), "doc long, n long, d1 long, d2 long, bits binary, gram long, count long")
+        described = written(described, "set-digests")
+        self.rows = described.filter("n is not null").select("doc", "n", "d1", "d2")
+        classes = described.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(
+            F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        self.classes = written(classes.withColumn("doc", F.monotonically_increasing_id()), "set-classes")
+        self.lists = self._index(described)
+        self.members = self._groups()
+        self.across = self._across()
+
+    def _arrays_of(self, wanted: DataFrame, heavy=None) -> DataFrame:
+        """``doc, n, grams`` of classes, each once; ``doc`` is the number of the class from here on."""
+        kind = "rep long, n long, d1 long, d2 long, grams array<long>"
+        keys = ["rep", "d1", "d2"]
+        texts = self.source.withColumnRenamed("doc", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
+        made = texts.mapInArrow(_renamed(_arrays(self.s.n, self.s.percent, heavy)), kind)
+        return made.join(wanted.select("doc", *keys), keys).dropDuplicates(keys).select("doc", "n", "grams")
+
+    def _index(self, described: DataFrame) -> DataFrame:
+        counts = described.filter("n is null").groupBy("gram").agg(F.sum("count").alias("count")).filter("count >= 8")
+        heavy = counts.orderBy(F.col("count").desc(), "gram").limit(_HEAVY).toPandas().sort_values("gram")
+        shared = described.sparkSession.sparkContext.broadcast((heavy["gram"].to_numpy(np.int64), heavy["count"].to_numpy(np.int64)))
+        entries = self._arrays_of(self.classes, shared).select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
+        entries = entries.select("gram", "doc", "n", F.col("pos").cast("long").alias("pos"))
+        lists = entries.repartition("gram").sortWithinPartitions("gram", "n", "pos", "doc")
+        return written(lists.mapInArrow(_shared_lists, "gram long, doc long, n long, pos long, block long"), "index-lists")
+
+    def _plausible(self, pairs: DataFrame, most) -> DataFrame:
+        one, two = (self.classes.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
         met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-        met = written(met.mapInArrow(_plausible(s.percent), "a long, b long").distinct(), "plausible-pairs")
-        ids = met.select(F.col("a").alias("doc")).union(met.select("b")).distinct()
-        # The rows of a document may hold several texts under one id; all of them are compared.
-        texts = source.join(ids, "doc", "left_semi")
-        sets = written(texts.mapInArrow(_arrays(s.n, s.percent), kind).filter("n > 0"), "sets")
-        return written(_overlapping(met, sets, similar), "similar-pairs")
-
-    if every:
-        labelled = lists.withColumn("label", F.col("doc"))
-    else:
-        blocks = lists.select("gram", "block", "doc", "n", "pos").repartition("gram", "block")
-        first = blocks.sortWithinPartitions("gram", "block", "n", "pos", "doc").mapInArrow(_leaders(s.percent), "a long, b long")
-        first = first.groupBy("a", "b").agg(F.count("*").alias("c"))
-        best = first.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        best = written(best.select("a", "b"), "best-partners")
-        close = linked(best)
-        labels = written(components(close), "first-components")
-        labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-        labelled = labelled.withColumn("label", F.coalesce("component", "doc"))
-
-    long = lists.groupBy("gram").agg(F.max("block").alias("last")).filter("last > 0")
-    placed = labelled.join(long, "gram", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    placed = placed.select("gram", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-                           "block", "doc", "n", "pos", "label")
-    placed = placed.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n", "pos", "doc")
-    pairs = placed.mapInArrow(_open_pairs(s.percent), "a long, b long").distinct()
-    if every:
-        return rows, classes, linked(written(pairs, "pairs"))
-    pairs = written(pairs.join(best, ["a", "b"], "left_anti"), "open-pairs")
-    return rows, classes, linked(pairs).union(close)
-
-
-def _of_class(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with ``rep`` and ``component``; rows without a set or an id are their own."""
-    final = components(links).withColumnsRenamed({"node": "rep"})
-    known = classes.join(final, "rep", "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
-    joined = rows.join(known, ["d1", "d2"], "left")
-    own = lambda name: F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col(name))).otherwise(F.col("doc"))
-    return joined.select("doc", "n", own("rep").alias("rep"), own("component").alias("component"))
+        return met.mapInArrow(_bounded(most), "a long, b long")
+
+    def _with_sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """``a, b, na, nb, ga, gb``: the pairs with their whole sets."""
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        sets = written(self._arrays_of(self.classes.join(ids, "doc", "left_semi")), name)
+        one, two = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
+        return pairs.join(one, "a").join(two, "b")
+
+    def _groups(self) -> DataFrame:
+        """``leader, doc, n, grams``: of each member its difference to the leader, which is a member with none."""
+        sizes = self.lists.groupBy("gram").agg(F.count("*").alias("length"))
+        scores = self.lists.join(sizes, "gram").groupBy("doc").agg(F.sum("length").alias("score"))
+        leaders = self.lists.select("gram", "doc").join(scores, "doc").groupBy("gram").agg(
+            F.max(F.struct("score", (-F.col("doc")).alias("minus"))).alias("top"))
+        met = self.lists.select("gram", "doc").join(leaders, "gram").groupBy("doc", "top").agg(F.count("*").alias("times"))
+        best = met.groupBy("doc").agg(F.max_by(-F.col("top.minus"), F.struct("times", "top")).alias("b"))
+        best = written(best.filter("doc <> b").select(F.col("doc").alias("a"), "b"), "leaders")
+        most = lambda na, nb: _NEAR * (na + nb) // 100
+        near = written(self._plausible(best, most), "near-leaders")
+        apart = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+        differing = self._with_sets(near, "led-sets").select(F.col("b").alias("leader"), F.col("a").alias("doc"), F.col("na").alias("n"), "nb",
+                                                             apart.alias("grams"))
+        near_enough = 100 * F.size("grams") <= _NEAR * (F.col("n") + F.col("nb"))
+        differing = written(differing.filter(near_enough), "differences")
+        own = differing.select("leader", F.col("leader").alias("doc"), F.col("nb").alias("n")).distinct()
+        # A leader that has joined another one stays there.
+        own = own.join(differing.select("doc"), "doc", "left_anti").select("leader", "doc", "n")
+        members = differing.select("leader", "doc", "n", "grams")
+        return written(members.unionByName(own.withColumn("grams", F.array().cast("array<long>"))), "members")
+
+    def within(self, listed: bool = False) -> DataFrame:
+        """The answers of all groups; see :func:`_group_links`."""
+        blocks = self.members.groupBy("leader").agg(F.ceil(F.count("*") / _MEMBERS).alias("blocks"))
+        dealt = self.members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("leader", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                             "block", "doc", "n", "grams")
+        kind = "a long, b long" if listed else "doc long, top long, n_links long"
+        return dealt.groupBy("leader", "one", "two").applyInArrow(_group_links(self.s.percent, listed), kind)
+
+    def _across(self) -> DataFrame:
+        """Links ``a, b`` of sets of different groups; a set without a leader is a group."""
+        labels = self.members.select("doc", F.col("leader").alias("label"))
+        labelled = self.lists.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        long = self.lists.groupBy("gram").agg(F.max("block").alias("last")).filter("last > 0")
+        placed = labelled.join(long, "gram", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        placed = placed.select("gram", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                               "block", "doc", "n", "pos", "label")
+        placed = placed.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n", "pos", "doc")
+        percent = self.s.percent
+        pairs = placed.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+        self.listed = written(pairs, "open-pairs")
+        most = lambda na, nb: na + nb - 2 * _needed(na, nb, percent)
+        pairs = written(self._plausible(self.listed, most), "plausible-pairs")
+        common = F.size(F.array_intersect("ga", "gb"))
+        found = self._with_sets(pairs, "sets").select("a", "b", "na", "nb", common.alias("k"))
+        return written(found.filter(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"), "links")
+
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of classes by their smallest documents, the smaller one first."""
+        one, two = (self.classes.select(F.col("doc").alias(x), F.col("rep").alias(f"rep{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b")
+        return both.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"))
+
+    def found(self) -> DataFrame:
+        """``doc, n, component, rep, n_links`` of every row; rows without a set or an id are their own."""
+        answers = written(self.within(), "group-answers")
+        joined = answers.select(F.col("doc").alias("a"), F.col("top").alias("b")).union(self.across)
+        final = components(self.named(joined)).withColumnsRenamed({"node": "rep"})
+        ends = answers.select("doc", "n_links")
+        for end in "ab":
+            ends = ends.union(self.across.select(F.col(end).alias("doc"), F.lit(1).cast("long")))
+        ends = ends.groupBy("doc").agg(F.sum("n_links").alias("n_links"))
+        known = self.classes.join(final, "rep", "left").join(ends, "doc", "left").select(
+            "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"), "n_links")
+        joined = self.rows.join(known, ["d1", "d2"], "left")
+        own = lambda name: F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col(name))).otherwise(F.col("doc"))
+        return joined.select("doc", "n", own("component").alias("component"), own("rep").alias("rep"),
+                             F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
+def _renamed(function):
+    """The same batches with ``rep`` as the name of the first column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            yield batch.rename_columns(["rep", *batch.schema.names[1:]])
+
+    return run
 
 
 def similar_sets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, n, component`` of every row: set size and smallest document that links lead to.
+    """``doc, n, component, rep, n_links`` of every row: set size, smallest document that links lead to, the smallest
+    document with an equal set, and the number of different sets that are linked to this one.
 
     A null or blank text has no set: size 0, linked with nothing. A row with a null id has a null
-    component and links nothing. Rows that share an id are one document, linked if any of its texts is.
+    component and links nothing. Rows that share an id are one document, linked if any of its texts is. Texts of any length are
+    hashed whole; a set has to fit into a task. No rows give no rows. Other columns are not looked at.
     """
-    found = _of_class(*_compared(docs, settings, doc_id, text, every=False))
-    return found.select("doc", "n", "component")
+    return _Join(docs, settings, doc_id, text).found()
 
 
 def linked_sets(
     docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """Every link, and what it links.
+    """Every link, written out, and :func:`similar_sets`.
 
     The first table has a row ``a, b`` (``a < b``) for each two classes of equal sets that are similar,
-    named by their smallest documents. The second is ``doc, n, component`` of :func:`similar_sets` with
-    ``rep``, the name of the row's class, and ``n_links``, the number of links of that class.
+    named by their smallest documents. Within a family of copies it grows with the square of their number.
     """
-    rows, classes, links = _compared(docs, settings, doc_id, text, every=True)
-    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = _of_class(rows, classes, links).join(ends, "rep", "left")
-    return links, found.select("doc", "n", "component", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    join = _Join(docs, settings, doc_id, text)
+    return join.named(join.within(listed=True).union(join.across)), join.found()

@@ -57,9 +57,18 @@ links AS MATERIALIZED (
 both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(doc_id, other) AS (
     SELECT a, a FROM both_ways UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other),
-tops AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN tops USING (doc_id)
+tops AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id),
+equals AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE k = x.n AND k = y.n),
+classes AS MATERIALIZED (
+    SELECT doc_id, coalesce(first, doc_id) AS class_id FROM documents LEFT JOIN (SELECT b AS doc_id, min(a) AS first FROM equals GROUP BY b)
+    USING (doc_id)),
+counted AS (
+    SELECT x.doc_id, count(DISTINCT y.class_id) AS n_links FROM both_ways l JOIN classes x ON x.doc_id = l.a
+    JOIN classes y ON y.doc_id = l.b WHERE x.class_id <> y.class_id GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, class_id,
+       coalesce(n_links, 0) AS n_links
+FROM documents d JOIN classes USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN tops USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
 REPEATS = """

@@ -48,8 +48,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = jaccard.linked_sets(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = jaccard.similar_sets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                        F.col("rep").alias("class_id"), "n_links")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from precis.llm import components, jaccard
 
@@ -51,7 +53,8 @@ def fixture():
 
 def found(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted(map(tuple, jaccard.similar_sets(docs).collect()), key=str)
+    docs = docs.withColumns({name: F.lit(1) for name in ("doc", "rep", "n", "grams", "leader")})
+    return sorted(map(tuple, jaccard.similar_sets(docs).select("doc", "n", "component").collect()), key=str)
 
 
 def test_equals_brute_force(spark):
@@ -61,6 +64,8 @@ def test_equals_brute_force(spark):
 def test_equals_brute_force_with_many_blocks(spark, monkeypatch):
     """Blocks of three entries, so that every longer list is dealt out by pairs of blocks."""
     monkeypatch.setattr(jaccard, "_BLOCK", 3)
+    monkeypatch.setattr(jaccard, "_MEMBERS", 3)
+    monkeypatch.setattr(jaccard, "_COLUMNS", 5)
     cloudpickle.register_pickle_by_value(jaccard)
     try:
         assert found(spark, fixture()) == brute(fixture())
@@ -94,6 +99,40 @@ def test_every_link_inside_components(spark):
     assert all(r["n_links"] == ends[r["rep"]] for r in members)
 
 
+def test_a_family_lists_few_pairs(spark):
+    """Near copies that are mostly not linked: their answers come from their groups, not from listed pairs."""
+    rng, base = random.Random(6), [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for place in rng.sample(range(20), 6):
+            words[10 * place] = f"x{place}"
+        rows.append((i, " ".join(words)))
+    join = jaccard._Join(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Settings(), "doc_id", "text")
+    links = brute_links(rows)
+    assert join.across.count() + join.within(listed=True).count() == len(links) > 30
+    assert join.members.count() >= 180 and join.listed.count() < 10 * len(links)
+    assert sorted(map(tuple, join.found().select("doc", "n", "component").collect()), key=str) == brute(rows)
+
+
+def test_answers_of_a_block_pair():
+    """Sets of a group, known by their differences to the leader, against the sets themselves."""
+    rng = random.Random(9)
+    leader = set(range(60))
+    sets = [leader ^ set(rng.sample(range(90), rng.randrange(25))) for _ in range(40)]
+    table = pa.table({"doc": list(range(40)), "n": [len(x) for x in sets], "block": [i % 2 for i in range(40)],
+                      "grams": pa.array([sorted(x ^ leader) for x in sets], pa.list_(pa.int64()))})
+    linked = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for one, two in ((0, 1), (0, 0)):
+        part = table if one != two else table.filter(pa.compute.equal(table["block"], 0))
+        mine = {(i, j) for i, j in linked if {i % 2, j % 2} == {one, two}}
+        key = (pa.scalar(0), pa.scalar(one), pa.scalar(two))
+        pairs = jaccard._group_links(80, True)(key, part)
+        assert set(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())) == mine and pairs.num_rows == len(mine) > 0
+        answers = jaccard._group_links(80, False)(key, part)
+        assert dict(zip(answers["doc"].to_pylist(), answers["n_links"].to_pylist())) == Counter(x for p in mine for x in p)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
