@@ -62,11 +62,11 @@ def with_summary(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Add ``summary``: the passages of ``benchmark`` dealt out in turn to all documents.
 
     The remainder is the join key that gives every document its passage. The passages are numbered
-    here, so none is left out whatever their ids are; the table is small, one window orders it.
+    here, so none is left out whatever their ids are; the table is small, one window orders it. A null id counts as 0.
     """
     passages = numbered_passages(spark, folder).withColumnRenamed("text", "summary")
     n = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.withColumn("item_id", F.col("doc_id") % n).join(passages, "item_id").drop("item_id")
+    return df.withColumn("item_id", F.pmod(F.coalesce("doc_id", F.lit(0)), n)).join(passages, "item_id").drop("item_id")
 
 
 def gold_summaries(spark: SparkSession, folder: str) -> DataFrame:

@@ -216,7 +216,7 @@ def _replies(spark: SparkSession, folder: str) -> DataFrame:
     message = F.struct(F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"))
     body = F.to_json(F.struct(F.array(message).alias("choices")))
     return (
-        ids.withColumn("item_id", (F.col("doc_id") + 1) % n)
+        ids.withColumn("item_id", F.pmod(F.coalesce("doc_id", F.lit(0)) + 1, n))
         .join(passages, "item_id")
         .join(flagged, "doc_id", "left")
         .select("doc_id", F.when(F.col("_bad"), F.lit('{"choices":[{')).otherwise(body).alias("body"))
