@@ -64,9 +64,13 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def _text_hashes(texts: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(texts, categorize=False)
+
+
 def _word_hashes(lang: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of words of languages, from arrays of their texts."""
-    return _mixed(pd.util.hash_array(lang, categorize=False) * _MULTIPLIERS[0] + pd.util.hash_array(words, categorize=False))
+    """Hashes of words of languages, from the hashes of their texts."""
+    return _mixed(lang * _MULTIPLIERS[0] + words)
 
 
 def _longer(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -97,7 +101,8 @@ def _filter_rows(bits: int):
             parts = pc.split_pattern(batch.column(1), " ")
             lengths = pc.list_value_length(parts).to_numpy()
             starts = np.cumsum(lengths) - lengths
-            words = _word_hashes(np.repeat(lang, lengths), parts.flatten().to_numpy(zero_copy_only=False))
+            words = _text_hashes(parts.flatten().to_numpy(zero_copy_only=False))
+            words = _word_hashes(np.repeat(_text_hashes(lang), lengths), words)
             hashes = words[starts]
             for k in range(1, int(lengths.max())):
                 more = np.flatnonzero(lengths > k)
@@ -179,15 +184,28 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.DictionaryArray, np
     return pa.DictionaryArray.from_arrays(coded.indices, coded.dictionary.cast(pa.large_string())), owner, together
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the first of each different key, its count, and the number of the key of each row."""
-    _, index, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return index, count, inverse
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[edges], np.diff(np.append(edges, len(keys)))
+
+
+def _numbered(keys: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys (all below ``span``), their counts, and the number of the key of each row."""
+    if span > 8 * len(keys) + (1 << 16):
+        names, count = _counted(keys)
+        return names, count, np.searchsorted(names, keys)
+    count = np.bincount(keys, minlength=span)
+    names = np.flatnonzero(count)
+    number = np.empty(span, dtype=np.int64)
+    number[names] = np.arange(len(names))
+    return names, count[names], number[keys]
 
 
 def _count(step: int, s: Settings, shared):
     """Rows ``lang, phrase, k, count`` of the phrases that are active in a step; ``k`` 0 counts all words."""
-    names = ["lang", "phrase", "k", "count"]
+    header = ["lang", "phrase", "k", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, before = shared.value
@@ -198,23 +216,26 @@ def _count(step: int, s: Settings, shared):
                 return
             lang = codes[owner]
 
-            def rows(k: int, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-                parts = [words.dictionary.take(words.indices.take(pa.array(at + j))) for j in range(k)]
-                text = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]
+            def rows(parts: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
+                texts = [words.dictionary.take(pa.array(names[p] // len(langs))) for p in parts]
+                text = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if len(texts) > 1 else texts[0]
+                of_lang = lang_names.take(pa.array(names[parts[0]] % len(langs)))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(langs[lang[at]], pa.string()), text.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)),
-                     pa.array(count)], names=names)
+                    [of_lang, text.cast(pa.string()), pa.array(np.full(len(count), len(parts), np.int32)), pa.array(count)], names=header)
 
+            # A word is a number for its text and its language.
+            lang_names = pa.array(langs, pa.string())
             number = words.indices.to_numpy().astype(np.int64) * len(langs) + lang
-            index, count, word = _counted(number)
+            names, count, word = _numbered(number, len(words.dictionary) * len(langs))
             if step < s.shards:
-                yield rows(1, index, count)
-                present, n = np.unique(lang, return_counts=True)
+                yield rows([np.arange(len(names))], count)
+                n = np.bincount(lang, minlength=len(langs))
+                present = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs[present], pa.string()), pa.array([""] * len(n), pa.string()),
-                     pa.array(np.zeros(len(n), np.int32)), pa.array(n)], names=names)
-            texts = words.dictionary.take(words.indices.take(pa.array(index))).to_numpy(zero_copy_only=False)
-            hashes = _word_hashes(langs[lang[index]], texts)
+                    [lang_names.take(pa.array(present)), pa.array([""] * len(present), pa.string()),
+                     pa.array(np.zeros(len(present), np.int32)), pa.array(n[present])], names=header)
+            texts = _text_hashes(words.dictionary.to_numpy(zero_copy_only=False))
+            hashes = _word_hashes(_text_hashes(langs)[names % len(langs)], texts[names // len(langs)])
             known, old = _contains(reached, hashes)[word], _contains(before, hashes)[word]
             # at: where a phrase of the length at hand begins that has reached the threshold; done: a cycle ago.
             single, at = hashes[word], np.flatnonzero(known)
@@ -224,11 +245,17 @@ def _count(step: int, s: Settings, shared):
                 here = np.flatnonzero(np.append(at[1:] == at[:-1] + 1, False) & together[at]) if len(at) else at
                 begin = at[here[~(done[here] & done[here + 1])]]
                 if len(begin):
-                    keys = word[begin]
-                    for j in range(1, k):
-                        keys = (keys if j == 1 else _counted(keys)[2]) * len(index) + word[begin + j]
-                    first, n, _ = _counted(keys)
-                    yield rows(k, begin[first], n)
+                    # A phrase is a number for all but its last word, and that word.
+                    keys, shorter = word[begin] * len(names) + word[begin + 1], []
+                    for j in range(2, k):
+                        shorter.append(_counted(keys)[0])
+                        keys = np.searchsorted(shorter[-1], keys) * len(names) + word[begin + j]
+                    keys, n = _counted(keys)
+                    parts = [keys % len(names)]
+                    for below in reversed(shorter):
+                        keys = below[keys // len(names)]
+                        parts.append(keys % len(names))
+                    yield rows([keys // len(names), *reversed(parts)], n)
                 at, value = at[here], _longer(value[here], single[at[here] + k - 1])
                 keep = _contains(reached, value)
                 at, value = at[keep], value[keep]

@@ -93,9 +93,10 @@ def test_a_long_text_is_cut_where_a_piece_ends(spark):
     assert run(spark, rows, s) == brute(rows, s)
 
 
-def test_hashes_do_not_depend_on_the_batch():
-    words = np.array(["a", "b", "c", "a"], dtype=object)
-    lang = np.array(["en"] * 4, dtype=object)
-    all_at_once = phrases._word_hashes(lang, words)
-    assert all_at_once[0] == all_at_once[3] == phrases._word_hashes(lang[:1], words[:1])[0]
-    assert len(set(phrases._word_hashes(np.array(["en", "fr"], dtype=object), words[[0, 0]]).tolist())) == 2
+def test_numbers_of_many_languages():
+    """Sparse keys are numbered as dense ones are."""
+    keys = np.array([7, 3, 7, 900_000, 3, 7])
+    for span in (900_001, 1 << 40):
+        names, count, number = phrases._numbered(keys, span)
+        assert names.tolist() == [3, 7, 900_000] and count.tolist() == [2, 3, 1] and number.tolist() == [1, 0, 1, 2, 0, 1]
+    assert len(set(phrases._word_hashes(np.array([1, 2], np.uint64), np.array([5, 5], np.uint64)).tolist())) == 2
