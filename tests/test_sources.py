@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from precis.functions import text
-from precis.operators import models, sentences, transcripts
+from precis.operators import forest, models, sentences, transcripts
 from precis.plans import lectures, training
 from precis.sources import files, store
 
@@ -147,9 +147,9 @@ def test_summaries_are_ordered_parts_of_the_text(spark, labeled):
 
 
 def test_out_of_bag(spark, labeled):
-    trained = training.train(labeled, [], "logreg", max_features=50, max_iter=10)
-    vectors = models.vectorize(trained.vectorizer, labeled)
-    got = models.out_of_bag_score(vectors, num_trees=4, max_depth=3).first()
+    rows = labeled.withColumn("held", F.lit(False))
+    prepared, n_terms = forest.rows_of(rows, [], labeled)
+    got = forest.out_of_bag(forest.fit(prepared, n_terms, forest.Settings(num_trees=4, max_depth=3))[1]).first()
     assert got["n"] == labeled.count() and 0 < got["n_voted"] <= got["n"] and 0 <= got["oob_score"] <= 1
 
 
