@@ -57,17 +57,18 @@ def map_arrow(
     fields: Sequence[T.StructField],
     compute: Callable[[], Callable[[list[pa.Array]], list]],
     inputs: int,
+    kept_inputs: int = 0,
 ) -> DataFrame:
     """Append computed columns to a selection, batch by batch.
 
     The first ``inputs`` of the selected ``columns`` are handed to the function that ``compute()``
     makes once for every task; it returns one list or array for every field. The other selected
-    columns are kept as they are, the inputs are not kept. A kept column that has the name of a new
-    field gives way to it.
+    columns are kept as they are; of the inputs only the first ``kept_inputs`` are, so that a text need not be
+    sent twice. A kept column that has the name of a new field gives way to it.
     """
     picked = df.select(*columns)
     new = {f.name for f in fields}
-    kept = [i for i, f in enumerate(picked.schema.fields) if i >= inputs and f.name not in new]
+    kept = [i for i, f in enumerate(picked.schema.fields) if not kept_inputs <= i < inputs and f.name not in new]
     plain = picked.toDF(*[f"c{i}" for i in range(len(picked.columns))])
     schema = T.StructType([picked.schema.fields[i] for i in kept] + list(fields))
     names = schema.fieldNames()

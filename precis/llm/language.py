@@ -198,4 +198,5 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...], text: str
         decide = shared.value.decide
         return lambda columns: list(zip(*(decide(t.as_py()) for t in columns[0]), strict=True))
 
-    return map_arrow(docs, [text, *keep], FIELDS, compute, inputs=1)
+    others = [name for name in keep if name != text]
+    return map_arrow(docs, [text, *others], FIELDS, compute, inputs=1, kept_inputs=int(text in keep))

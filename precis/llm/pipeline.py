@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter and those of whose n-grams no language knows ``LEAST_SHARE``."""
     filters = language.learn(docs, id_remainder(F.col("doc_id"), 3) != 1)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    found = language.identify(docs.withColumn("_text", F.col("text")), filters, tuple(kept), text="_text")
+    found = language.identify(docs, filters, tuple(kept))
     passes = (F.col("lang_pred") != language.UNDECIDED) & (F.col("lang_score") >= LEAST_SHARE)
     return found.filter(passes).select(*COLUMNS)
 
