@@ -131,10 +131,15 @@ def stem(word: str) -> str:
     return word
 
 
+_REMEMBERED = 1 << 18
+
+
 class _Stems(dict):
-    """Remembers the stem of every word a task has met."""
+    """Remembers the stems of the words a task has met; starts anew when it is full."""
 
     def __missing__(self, word: str) -> str:
+        if len(self) >= _REMEMBERED:
+            self.clear()
         self[word] = stem(word)
         return self[word]
 

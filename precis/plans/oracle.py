@@ -514,6 +514,14 @@ def oracles() -> dict[str, str]:
               FROM best JOIN labeled USING (doc_id, sentence_id) GROUP BY doc_id"""),
         "nb_summary_rouge_mean": _nb_rouge_mean(bayes + [test_rows]),
         "report_val": _with(bayes + [test_rows.replace("'test'", "'val'")], "")[:-1] + _report("test_rows"),
+        "logreg_optimum": _with(bayes, """
+            SELECT n_rows, positives, n_terms, TRUE AS at_optimum,
+                   round(sqrt(steepness) * n_rows / 4, 4) AS start_gradient
+            FROM (SELECT count(*) AS n_rows, sum(label)::BIGINT AS positives FROM train),
+                 (SELECT count(*) AS n_terms,
+                         sum(power(sum0 / (SELECT count(*) FILTER (WHERE label = 0) FROM train)
+                                   - sum1 / (SELECT count(*) FILTER (WHERE label = 1) FROM train), 2)) AS steepness
+                  FROM class_sums)"""),
         "model_roundtrip": _with(_cosine(stop), "SELECT count(*) AS n, 0::BIGINT AS n_different FROM labeled"),
         "notes_fallback": f"""
             WITH items AS (SELECT item_id, {_split('text')} AS p FROM benchmark),

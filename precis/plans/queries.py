@@ -11,7 +11,7 @@ from precis import fixed_values as fixed
 from precis import schemas
 from precis.functions import text
 from precis.operators import (
-    chat, evaluation, features, forest, labels, models, naive_bayes, ranking, rouge, sentences, sequences,
+    chat, evaluation, features, forest, labels, linear, models, naive_bayes, ranking, rouge, sentences, sequences,
     splits, summaries, transcripts,
 )
 from precis.plans import inputs, lectures, training
@@ -430,6 +430,35 @@ def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("oob_score", F.round("oob_score", 6))
 
 
+OPTIMUM = 1e-2  # length of the gradient, relative to that at zero
+
+
+def _logistic_table(spark: SparkSession, folder: str) -> tuple[linear.LinearModel, DataFrame]:
+    """The logistic model as a table, fitted on all training rows and all their terms."""
+    _, labeled = _labeled(spark, folder)
+    train = labeled.where(F.col("part") == "train")
+    return linear.fit(train, text.english_stop_words(), tolerance=OPTIMUM), labeled
+
+
+def logreg_optimum(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the gradient vanishes at the fitted model, taken anew from its parameters and all training rows."""
+    model, _ = _logistic_table(spark, folder)
+    # Twice the bound leaves room for the order of sums alone.
+    reached = F.lit(linear.gradient_length(model)) <= 2 * OPTIMUM * model.start
+    counted = model.rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("positives"))
+    n_terms = model.terms.agg(F.count(F.lit(1)).alias("n_terms"))
+    return counted.withColumn("n_terms", n_terms.scalar()).withColumns(
+        {"start_gradient": F.round(F.lit(model.start), 4), "at_optimum": reached}
+    )
+
+
+def logreg_table_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of the logistic model that is a table, on the test part."""
+    model, labeled = _logistic_table(spark, folder)
+    test = labeled.where(F.col("part") == "test")
+    return _rounded(evaluation.classification_report(test.join(linear.score(model, test), ["doc_id", "sentence_id"])))
+
+
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Rows on which a saved and reloaded model differs from the fitted one: expected 0."""
     _, labeled = _labeled(spark, folder)
@@ -582,6 +611,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_mllib_report": _model_report("nb"),
     "svm_report": _model_report("svm"),
     "logreg_report": _model_report("logreg"),
+    "logreg_optimum": logreg_optimum,
+    "logreg_table_report": logreg_table_report,
     "linreg_report": _model_report("linreg"),
     "ffn_report": _model_report("ffn", **NETWORK_TERMS),
     "report_val": report_val,
