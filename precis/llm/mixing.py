@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from precis.llm.common import written
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     a source come within one row of its target, whole texts only. A run depends on seed and rows alone.
 
     A null or empty text has size 0 and is not taken. A null source is a source of its own. Rows that are
-    equal in id and text share their draws. A column of ``docs`` with the name of a result gives way to
+    equal in id and text share their draws, but for those at the cut of a source, of which as many as fit are taken. A column of ``docs`` with the name of a result gives way to
     it. The driver handles one row for each source and block (at most ``_SOURCES`` sources, else an error).
     """
     new = ("size", "source_size", "target", "copies", "shards", "shard_order")
@@ -146,22 +146,74 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     # Only one block of a source is taken row by row, in random order.
     key = F.xxhash64(F.lit(seed + 2), "h")
     last = dealt.filter(F.col("room").isNotNull()).select("_source", "_block", "room")
-    same_block = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    inside = slim.join(F.broadcast(last), same_block).withColumn("key", key)
-    in_order = Window.partitionBy("source", "block").orderBy("key")
-    inside = inside.withColumn("end", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = inside.filter(2 * F.col("end") - F.col("size") <= 2 * F.col("room")).groupBy(
-        F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.max("key").alias("cut"))
+    cuts = written(cut_points(slim.withColumn("key", key), last), "mix-cuts")
     dealt = dealt.join(F.broadcast(cuts), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
     dealt = dealt.select("_source", "_block", "source_size", "target", "passes", "draw_shards",
                          F.col("room").isNotNull().alias("cut_short"), F.coalesce("cut", F.lit(-(1 << 63))).alias("cut"))
 
     rows = docs.select(*kept, row_hash.alias("h"), word_count(F.col(text)).alias("size"))
+    tied = cuts.filter(F.col("takes") < F.col("n")).select(F.col("_s").alias("_source"), "cut", "takes").collect()  # one a source at most
     side = F.broadcast(dealt) if len(named) * _BLOCKS <= _BROADCAST else dealt
     rows = rows.join(side, F.col(source).eqNullSafe(F.col("_source")) & (F.pmod("h", F.lit(_BLOCKS)) == F.col("_block")), "left")
     left_out = F.col("cut_short") & (key > F.col("cut"))
+    if tied:
+        rows = _numbered_ties(rows.withColumn("_key", key), tied, source)
+        left_out = left_out | (F.col("cut_short") & F.coalesce(F.col("_surplus"), F.lit(False)))
     taken = F.when(F.col("size") == 0, F.array().cast("array<int>")).when(
         left_out, F.slice("draw_shards", F.lit(1), F.col("passes"))).otherwise(F.col("draw_shards"))
     return rows.select(
         *kept, "size", "source_size", "target", F.size(taken).alias("copies"), taken.alias("shards"),
         F.xxhash64(F.lit(seed + 3), "h").alias("shard_order"))
+
+
+def cut_points(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """``_s, _b, cut, takes, n``: where each block of ``last`` (``_source, _block, room``) is cut.
+
+    ``rows`` (``source, block, key, size``) are taken in the order of ``key`` while half of a row fits
+    into the room; ``cut`` is the last key taken, ``takes`` how many of its ``n`` equal rows. Equal rows
+    are counted before they are ordered, and a block is ordered in 65,536 pieces by the first bits of the key.
+    """
+    same_block = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
+    inside = rows.filter(F.col("size") > 0).join(F.broadcast(last), same_block)
+    inside = inside.withColumn("piece", F.shiftright("key", 48))
+    keys = inside.groupBy("source", "block", "piece", "key").agg(
+        F.count("*").alias("n"), F.first("size").alias("size"), F.first("room").alias("room"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    words = F.sum(F.col("n") * F.col("size"))
+    pieces = keys.groupBy("source", "block", "piece").agg(words.alias("words"))
+    before = F.sum("words").over(until(Window.partitionBy("source", "block").orderBy("piece")))
+    pieces = pieces.select(
+        F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("piece").alias("_p"), F.coalesce(before, F.lit(0)).alias("before"))
+    in_piece = words.over(until(Window.partitionBy("source", "block", "piece").orderBy("key")))
+    same_piece = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("piece") == F.col("_p"))
+    started = keys.withColumn("start", F.coalesce(in_piece, F.lit(0))).join(pieces, same_piece)
+    fits = F.floor((F.col("room") - F.col("start") - F.col("before")) / F.col("size") + 0.5)
+    started = started.withColumn("takes", F.least(F.col("n"), F.greatest(fits, F.lit(0))))
+    best = F.max_by(F.struct("key", "takes", "n"), "key").alias("best")
+    cuts = started.filter(F.col("takes") > 0).groupBy("_s", "_b").agg(best)
+    return cuts.select("_s", "_b", F.col("best.key").alias("cut"), "best.takes", "best.n")
+
+
+def _numbered_ties(rows: DataFrame, tied: list[Row], source: str) -> DataFrame:
+    """``rows`` with ``_surplus``: true for those equal rows at a cut that are beyond its ``takes``.
+
+    The tied rows are written once and numbered by task: a number within the task, and the sum of the
+    tasks before it. No text is ordered.
+    """
+    spark = rows.sparkSession
+    ties = F.broadcast(spark.createDataFrame(
+        [(r["_source"], r["cut"], r["takes"]) for r in tied], "_tied_source string, _cut long, _takes long"))
+    found = rows.join(ties, F.col(source).eqNullSafe(F.col("_tied_source")) & (F.col("_key") == F.col("_cut")), "left")
+    found = written(found.withColumn("_at", F.monotonically_increasing_id()), "mix-tied")
+    slim = found.filter(F.col("_cut").isNotNull()).select(
+        "_at", "_cut", "_tied_source", "_takes", F.shiftright("_at", 33).alias("_task"))
+    nth = F.row_number().over(Window.partitionBy("_tied_source", "_cut", "_task").orderBy("_at"))
+    counts = slim.groupBy("_tied_source", "_cut", "_task").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_tied_source", "_cut").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col("_tied_source").alias("_ts"), F.col("_cut").alias("_tc"), F.col("_task").alias("_tt"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_tied_source").eqNullSafe(F.col("_ts")) & (F.col("_cut") == F.col("_tc")) & (F.col("_task") == F.col("_tt"))
+    surplus = slim.withColumn("_nth", nth).join(counts, same).select(
+        "_at", (F.col("_before") + F.col("_nth") > F.col("_takes")).alias("_surplus"))
+    return found.drop("_key", "_cut", "_tied_source", "_takes").join(surplus, "_at", "left").drop("_at")

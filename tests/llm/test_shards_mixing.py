@@ -80,3 +80,18 @@ def test_mix(spark):
         assert target[name] == pytest.approx(goal[name])
         assert abs(taken[name] - goal[name]) <= largest[name] + 3
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_rows(spark):
+    """Equal rows at the cut of a source are taken one by one, so targets are met within one row."""
+    repeated = [(i, "src", "en", " ".join(["word"] * 50)) for i in range(3) for _ in range(100)]
+    others = [(100 + i, "other", "en", " ".join(["word"] * 50)) for i in range(260)]
+    docs = spark.createDataFrame(repeated + others, "doc_id long, source string, lang string, text string")
+    for frame in (docs, docs.repartition(5)):
+        taken, target, rows_ = Counter(), {}, mixing.mix(frame).collect()
+        for r in rows_:
+            assert r["copies"] == len(r["shards"]) <= 3
+            taken[r["source"]] += r["size"] * r["copies"]
+            target[r["source"]] = r["target"]
+        assert len(rows_) == 560
+        assert all(abs(taken[s] - target[s]) <= 50 for s in target), (taken, target)
