@@ -3,7 +3,9 @@
 No vocabulary and no parameter vector is gathered: a margin is a join with the parameters and a sum per
 row, a gradient is a sum per term. Steps are L-BFGS in the form that needs only the inner products of
 its basis vectors (Chen et al. 2014): these vectors are columns of the parameter table, one aggregate gives all products,
-and the next direction is a linear combination of the columns. Along a direction margins are linear, so
+and the next direction is a linear combination of the columns. The table holds each parameter divided by
+its ``scale``, the inverse root of a bound of its curvature: else the intercept, which every row has,
+would set the number of steps. Along a direction margins are linear, so
 one scan of two numbers per row compares all step lengths.
 
 Every step is four jobs whatever the number of terms and rows. The rows are bucketed by their key, so
@@ -34,10 +36,11 @@ _STEPS = [2.0**k for k in range(6, -15, -1)]
 
 @dataclass(frozen=True)
 class Loss:
-    """A loss of margin and 0/1 label, and its slope in the margin."""
+    """A loss of margin and 0/1 label, its slope in the margin and the bound of its second derivative."""
 
     value: Callable[[Column, Column], Column]
     slope: Callable[[Column, Column], Column]
+    curvature: float
     balanced: bool  # classes weigh the same in total
     penalized_intercept: bool
 
@@ -52,8 +55,8 @@ def _log_loss(z: Column, label: Column) -> Column:
 
 
 LOSSES = {
-    "logistic": Loss(_log_loss, lambda z, label: _sigmoid(z) - label, True, True),
-    "squared": Loss(lambda z, label: (z - label) * (z - label) / 2, lambda z, label: z - label, False, False),
+    "logistic": Loss(_log_loss, lambda z, label: _sigmoid(z) - label, 0.25, True, True),
+    "squared": Loss(lambda z, label: (z - label) * (z - label) / 2, lambda z, label: z - label, 1.0, False, False),
 }
 
 
@@ -123,34 +126,54 @@ def _slopes_per_term(rows: DataFrame, slopes: DataFrame) -> DataFrame:
     return sums.unionByName(slopes.agg(F.sum("r").alias("part")).select(F.lit(INTERCEPT).alias("term"), "part"))
 
 
+def _at_zero(rows: DataFrame, loss: Loss, penalty: float) -> DataFrame:
+    """``(term, scale, w, g)``: all parameters zero, and the gradient in the scaled parameters there."""
+    slope, bound = F.col("c") * loss.slope(F.lit(0.0), F.col("label")), F.col("c") * loss.curvature
+    entries = _entries(rows.select(*KEY, "terms", slope.alias("r"), bound.alias("h")), "r", "h")
+    known = entries.where(~F.startswith(F.col("term"), F.lit("#")))
+    sums = known.groupBy("term").agg(
+        F.sum(F.col("r") * F.col("x")).alias("part"), F.sum(F.col("h") * F.col("x") * F.col("x")).alias("h")
+    )
+    last = rows.agg(F.sum(slope).alias("part"), F.sum(bound).alias("h"))
+    both = sums.unionByName(last.select(F.lit(INTERCEPT).alias("term"), "part", "h"))
+    both = both.withColumn("scale", 1 / F.sqrt(F.col("h") + _penalized(both, penalty, loss)))
+    return both.select("term", "scale", F.lit(0.0).alias("w"), (F.col("part") * F.col("scale")).alias("g"))
+
+
 def _penalized(parameters: DataFrame, penalty: float, loss: Loss) -> Column:
     """The penalty of a row of the parameter table, 0 for an intercept that is free."""
     free = (F.col("term") == INTERCEPT) & F.lit(not loss.penalized_intercept)
     return F.when(free, F.lit(0.0)).otherwise(F.lit(penalty))
 
 
-def _products(state: DataFrame, columns: list[str], share: Column) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
-    """Inner products of all columns, the intercept's value of each, and the products under the penalty.
+def _products(state: DataFrame, columns: list[str], share: Column) -> tuple[np.ndarray, dict[str, float], np.ndarray, float]:
+    """Inner products of all columns, the intercept's unscaled value of each, the products under the
+    penalty, and the length of the unscaled gradient ``g``.
 
     A batch of terms becomes one small matrix product, so each task hands on a few sums per batch.
     """
-    n = len(columns)
+    n, g = len(columns), columns.index("g")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.column_stack([batch.column(i).to_numpy() for i in range(n)])
-            shares, last = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy(zero_copy_only=False)
-            parts = (values.T @ values, values.T @ (values * shares[:, None]), values[last].sum(axis=0))
-            flat = np.concatenate([p.ravel() for p in parts])
+            shares, scale = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy()
+            last = batch.column(n + 2).to_numpy(zero_copy_only=False)
+            slopes = values[:, g] / scale
+            parts = (
+                values.T @ values, values.T @ (values * shares[:, None]), (values[last] * scale[last, None]).sum(axis=0),
+                slopes @ slopes,
+            )
+            flat = np.concatenate([np.ravel(p) for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["at", "part"])
 
-    rows = state.select(*columns, share.alias("_share"), (F.col("term") == INTERCEPT).alias("_last"))
+    rows = state.select(*columns, share.alias("_share"), "scale", (F.col("term") == INTERCEPT).alias("_last"))
     found = rows.mapInArrow(summed, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
-    flat = np.zeros(2 * n * n + n)
+    flat = np.zeros(2 * n * n + n + 1)
     for r in found:
         flat[r["at"]] = r["part"]
-    plain, under, last = np.split(flat, [n * n, 2 * n * n])
-    return plain.reshape(n, n), dict(zip(columns, last.tolist(), strict=True)), under.reshape(n, n)
+    plain, under, last, length = np.split(flat, [n * n, 2 * n * n, 2 * n * n + n])
+    return plain.reshape(n, n), dict(zip(columns, last.tolist(), strict=True)), under.reshape(n, n), math.sqrt(length[0])
 
 
 def direction(gram: np.ndarray, k: int) -> np.ndarray:
@@ -194,17 +217,13 @@ def fit(
     rows, idf = weighted_rows(labeled, stop_words, kind.balanced)
     if rows.isEmpty():
         raise ValueError("training needs rows")
-    zero = rows.select(*KEY, (F.col("c") * kind.slope(F.lit(0.0), F.col("label"))).alias("r"))
-    state = store.staged(
-        _slopes_per_term(rows, zero).select("term", F.lit(0.0).alias("w"), F.col("part").alias("g")), "parameters"
-    )
-    share = _penalized(state, penalty, kind)
+    state = store.staged(_at_zero(rows, kind, penalty), "parameters")
+    share = F.col("scale") * F.col("scale") * _penalized(state, penalty, kind)
     k = steps = 0
     start = None
     while True:
         basis = [f"s{i}" for i in range(k)] + [f"y{i}" for i in range(k)] + ["g"]
-        gram, at, shares = _products(state, [*basis, "w"], share)
-        length = math.sqrt(gram[2 * k, 2 * k])
+        gram, at, shares, length = _products(state, [*basis, "w"], share)
         start = length if start is None else start
         if length <= tolerance * start or steps == max_iter:
             break
@@ -212,7 +231,10 @@ def fit(
         d = sum((F.lit(float(a)) * F.col(n) for a, n in zip(coefficients, basis)), F.lit(0.0))
         b = float(sum(a * at[n] for a, n in zip(coefficients, basis)))
         margins = store.staged(
-            _margins(rows, state.select("term", "w", d.alias("d")), {"w": at["w"], "d": b}), "margins"
+            _margins(
+                rows, state.select("term", *[(v * F.col("scale")).alias(n) for n, v in (("w", F.col("w")), ("d", d))]),
+                {"w": at["w"], "d": b},
+            ), "margins"
         )
         inner = shares[:-1, :-1]
         step = _best_step(
@@ -224,18 +246,18 @@ def fit(
         slopes = margins.select(*KEY, (F.col("c") * kind.slope(z, F.col("label"))).alias("r"))
         moved = state.withColumn("_s", F.lit(step) * d).join(_slopes_per_term(rows, slopes), "term", "left")
         w = F.col("w") + F.col("_s")
-        g = F.coalesce("part", F.lit(0.0)) + share * w
+        g = F.coalesce("part", F.lit(0.0)) * F.col("scale") + share * w
         first = 1 if k == _MEMORY else 0
         kept = [f"{v}{i}" for v in "sy" for i in range(first, k)]
         k = k - first + 1
         state = store.staged(moved.select(
-            "term", w.alias("w"), g.alias("g"),
+            "term", "scale", w.alias("w"), g.alias("g"),
             *[F.col(name).alias(f"{name[0]}{int(name[1:]) - first}") for name in kept],
             F.col("_s").alias(f"s{k - 1}"), (g - F.col("g")).alias(f"y{k - 1}"),
         ), "parameters")
         steps += 1
     return LinearModel(
-        loss, penalty, state.select("term", "w").join(idf, "term"), at["w"], rows, stop_words, steps, start, length
+        loss, penalty, state.select("term", (F.col("w") * F.col("scale")).alias("w")).join(idf, "term"), at["w"], rows, stop_words, steps, start, length
     )
 
 

@@ -62,6 +62,17 @@ def test_squared_equals_least_squares(spark):
     assert np.allclose(x @ parameters(model, terms), x @ np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-3)
 
 
+def test_scales_are_inverse_roots_of_the_curvature_bound(spark):
+    model = linear.fit(labeled(spark), [], c=2.0, max_iter=0)
+    terms, x, y, c = dense(model)
+    found = {r["term"]: r for r in linear._at_zero(model.rows, linear.LOSSES["logistic"], 0.5).collect()}
+    scale = 1 / np.sqrt((c[:, None] * x * x).sum(axis=0) / 4 + 0.5)
+    assert np.allclose([found[t]["scale"] for t in [*terms, linear.INTERCEPT]], scale)
+    gradient = x.T @ (c * (0.5 - y))
+    assert np.allclose([found[t]["g"] for t in [*terms, linear.INTERCEPT]], gradient * scale)
+    assert model.start == model.end == pytest.approx(np.linalg.norm(gradient))
+
+
 def test_scores_follow_the_parameters(spark):
     rows = labeled(spark)
     model = linear.fit(rows, [], max_iter=3)
