@@ -32,7 +32,7 @@ from precis.llm.components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
-_TOGETHER = 1 << 20  # bytes of text that are hashed at once
+_TOGETHER = 1 << 18  # bytes of text that are hashed at once
 _COUNTED = 4_000_000  # n-grams that a task counts at once
 _HEAVY = 1 << 18  # bound of the table of frequent n-grams
 _BLOCK = 2048  # entries in a block of an index list
@@ -104,7 +104,7 @@ def ngram_sets(column: pa.Array, n: int, powers: _Powers) -> Iterator[np.ndarray
     """For each text the sorted 64-bit hashes of its different n-grams.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. A shorter text is one
-    n-gram, an empty or null one has none. Texts are hashed in groups of about a megabyte.
+    n-gram, an empty or null one has none. Texts are hashed in groups of about ``_TOGETHER`` bytes.
     """
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
@@ -177,11 +177,14 @@ def _describe(n: int):
 
         def frequent() -> Iterator[pa.RecordBatch]:
             if held:
-                grams, counts = np.unique(np.concatenate(held), return_counts=True)
-                often = counts >= 4
-                none = pa.nulls(int(often.sum()), pa.int64())
+                every = np.concatenate(held)
+                held.clear()
+                every.sort()  # in place: the n-grams of a task are its largest array
+                grams = np.unique(every[3:][every[3:] == every[:-3]])
+                counts = np.searchsorted(every, grams, side="right") - np.searchsorted(every, grams)
+                none = pa.nulls(len(grams), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none, none, pa.nulls(int(often.sum()), pa.binary()), pa.array(grams[often]), pa.array(counts[often])],
+                    [none, none, none, none, pa.nulls(len(grams), pa.binary()), pa.array(grams), pa.array(counts)],
                     names=names)
 
         for batch in batches:
@@ -197,7 +200,7 @@ def _describe(n: int):
                     size += len(grams)
                     if size >= _COUNTED:
                         yield from frequent()
-                        held, size = [], 0
+                        size = 0
                         seen.clear()
             digests = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             none = pa.nulls(len(sizes), pa.int64())
