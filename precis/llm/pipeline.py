@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm import bpe, jaccard, language, mixing, repeats
-from precis.llm.common import id_remainder, written
+from precis.llm.common import id_remainder, written, written_to
+from precis.sources.store import fresh_path, run_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.3
@@ -26,8 +27,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of linked documents only the one with the smallest id stays; the text of a row that
     repeats an id is compared too, so such rows stay together with the first one. Of rows that repeat both,
     and of equal texts without an id, one stays."""
-    found = jaccard.similar_sets(docs)
-    gone = found.filter(F.col("component") < F.col("doc")).select(F.col("doc").alias("doc_id")).distinct()
+    path = fresh_path(spark, "linked-ids")
+    with run_scope(spark):  # the tables of the join go before the next stage begins
+        found = jaccard.similar_sets(docs)
+        gone = found.filter(F.col("component") < F.col("doc")).select(F.col("doc").alias("doc_id")).distinct()
+        gone = written_to(gone, path)
     return _one_of_equal_rows(docs.join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
