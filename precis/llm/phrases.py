@@ -243,7 +243,8 @@ def _count(step: int, s: Settings, shared):
             for k in range(2, s.longest + 1):
                 # Both parts of the longer phrase: the one that begins here and the one at the next word.
                 here = np.flatnonzero(np.append(at[1:] == at[:-1] + 1, False) & together[at]) if len(at) else at
-                begin = at[here[~(done[here] & done[here + 1])]]
+                both = done[here] & done[here + 1]
+                begin = at[here[~both]]
                 if len(begin):
                     # A phrase is a number for all but its last word, and that word.
                     keys, shorter = word[begin] * len(names) + word[begin + 1], []
@@ -259,7 +260,8 @@ def _count(step: int, s: Settings, shared):
                 at, value = at[here], _longer(value[here], single[at[here] + k - 1])
                 keep = _contains(reached, value)
                 at, value = at[keep], value[keep]
-                done = _contains(before, value)
+                # As above, with all shorter parts: the earlier filter may hold a phrase falsely before these were known.
+                done = both[keep] & _contains(before, value)
 
         for batch in batches:
             for group in _groups(batch.column(1), batch.column(0)):

@@ -78,6 +78,17 @@ def test_a_crowded_filter_changes_nothing(spark):
     assert run(spark, rows, s) == brute(rows, s)
 
 
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 12])
+def test_a_phrase_that_a_filter_holds_falsely_is_counted(spark, bits):
+    """Words cross the threshold in different steps while the filter holds longer phrases by chance."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(2, 7))) for _ in range(150)]
+    rows = [(i, ". ".join(rng.choices(lines, k=2)), rng.choice(["en", "fr"])) for i in range(2500)]
+    s = Settings(least=12, filter_bits=bits)
+    assert run(spark, rows, s) == brute(rows, s)
+
+
 def test_odd_rows(spark):
     s = Settings(least=3, shards=4, filter_bits=1 << 12, top=3)
     rows = [(1, None, "en"), (2, "", None), (3, " \t. ,", "en"), (None, "x y z", "und"), (4, "x y z", None), (4, "X Y z", None)]
