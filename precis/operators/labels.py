@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
@@ -40,10 +40,16 @@ def label_by_overlap(
 
 
 def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame:
-    """Each sentence, and the summary as row -1, with its term counts and those of the summary."""
-    # A column of its own, so that it is made per document and not per exploded sentence.
-    of_summary = counts.term_counts(text.feature_terms(F.col("summary"), stop_words, max_n))
-    with_summary = documents.withColumn("_summary_tf", F.map_from_entries(of_summary))
+    """Each sentence, and the summary as row -1, with its term counts and the summary's counts of its terms.
+
+    ``_summary_tf`` has only terms of the sentence itself, so that a summary is not written once per sentence.
+    """
+    counted = lambda column: counts.term_counts(text.feature_terms(F.col(column), stop_words, max_n))
+    # Columns of their own, so that they are made per document and not per exploded sentence.
+    with_summary = documents.withColumn("_summary_terms", counted("summary"))
+    with_summary = with_summary.withColumns({
+        "_names": _names("_summary_terms"), "_all_tf": F.map_from_entries("_summary_terms"),
+    })
     numbered = F.transform(
         "sentences", lambda s, i: F.struct(i.alias("sentence_id"), s.alias("unit"))
     )
@@ -51,10 +57,25 @@ def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame
     rows = with_summary.select(
         "doc_id",
         F.size("sentences").alias("n_sentences"),
-        "_summary_tf",
+        "_summary_terms", "_names", "_all_tf",
         F.explode(F.concat(numbered, F.array(summary))).alias("_u"),
-    ).select("doc_id", "n_sentences", "_summary_tf", "_u.*")
-    return features.with_term_counts(rows, "unit", stop_words, max_n)
+    ).select("doc_id", "n_sentences", "_summary_terms", "_names", "_all_tf", "_u.*")
+    of_summary = F.col("sentence_id") == SUMMARY_ROW
+    terms = F.when(of_summary, F.col("_summary_terms")).otherwise(counted("unit"))
+    common = lambda ts: F.when(of_summary, F.array().cast("array<string>")).otherwise(
+        F.array_intersect(_names(ts), F.col("_names"))
+    )
+    of_common = lambda ts: F.map_from_entries(
+        F.transform(common(ts), lambda name: F.struct(name, F.try_element_at("_all_tf", name)))
+    )
+    both = text.let(terms, lambda ts: F.struct(ts.alias("terms"), of_common(ts).alias("_summary_tf")))
+    return rows.select("doc_id", "n_sentences", "sentence_id", "unit", both.alias("_b")).select(
+        "doc_id", "n_sentences", "sentence_id", "unit", "_b.terms", "_b._summary_tf"
+    )
+
+
+def _names(terms: Column | str) -> Column:
+    return F.transform(terms, lambda t: t["term"])
 
 
 def fit_summary_idf(

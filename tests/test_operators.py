@@ -299,3 +299,13 @@ def test_chat(spark):
     assert (parsed["model"], parsed["temperature"], parsed["max_tokens"]) == ("m", 0.2, 256)
     replies = spark.createDataFrame([(1, '{"choices":[{"message":{"content":" ok "}}]}'), (2, "{broken"), (3, None)], "doc_id long, body string")
     assert {r["doc_id"]: r["text"] for r in chat.reply_texts(replies).collect()} == {1: "ok", 2: "", 3: ""}
+
+
+def test_a_summary_is_not_repeated_per_sentence(spark):
+    """A sentence carries the summary's counts of its own terms only."""
+    rows = [(1, ["alpha beta", "gamma", "beta delta delta"], "beta beta delta omega sigma"), (2, ["alpha"], None)]
+    golds = spark.createDataFrame(rows, "doc_id long, sentences array<string>, summary string")
+    found = {(r["doc_id"], r["sentence_id"]): r["_summary_tf"] for r in labels._units(golds, [], 1).collect()}
+    assert found == {
+        (1, 0): {"beta": 2}, (1, 1): {}, (1, 2): {"beta": 2, "delta": 1}, (1, -1): {}, (2, 0): {}, (2, -1): {},
+    }
