@@ -46,8 +46,7 @@ def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame
     """
     counted = lambda column: counts.term_counts(text.feature_terms(F.col(column), stop_words, max_n))
     # Columns of their own, so that they are made per document and not per exploded sentence.
-    with_summary = documents.withColumn("_summary_terms", counted("summary"))
-    with_summary = with_summary.withColumns({
+    with_summary = documents.withColumn("_summary_terms", counted("summary")).withColumns({
         "_names": _names("_summary_terms"), "_all_tf": F.map_from_entries("_summary_terms"),
     })
     numbered = F.transform(
@@ -57,20 +56,19 @@ def _units(documents: DataFrame, stop_words: list[str], max_n: int) -> DataFrame
     rows = with_summary.select(
         "doc_id",
         F.size("sentences").alias("n_sentences"),
-        "_summary_terms", "_names", "_all_tf",
+        "_names", "_all_tf",
         F.explode(F.concat(numbered, F.array(summary))).alias("_u"),
-    ).select("doc_id", "n_sentences", "_summary_terms", "_names", "_all_tf", "_u.*")
+    ).select("doc_id", "n_sentences", "_names", "_all_tf", "_u.*")
     of_summary = F.col("sentence_id") == SUMMARY_ROW
-    terms = F.when(of_summary, F.col("_summary_terms")).otherwise(counted("unit"))
     common = lambda ts: F.when(of_summary, F.array().cast("array<string>")).otherwise(
         F.array_intersect(_names(ts), F.col("_names"))
     )
     of_common = lambda ts: F.map_from_entries(
         F.transform(common(ts), lambda name: F.struct(name, F.try_element_at("_all_tf", name)))
     )
-    both = text.let(terms, lambda ts: F.struct(ts.alias("terms"), of_common(ts).alias("_summary_tf")))
-    return rows.select("doc_id", "n_sentences", "sentence_id", "unit", both.alias("_b")).select(
-        "doc_id", "n_sentences", "sentence_id", "unit", "_b.terms", "_b._summary_tf"
+    # Two selections, so that queries that need no common terms do not look for them.
+    return rows.withColumn("terms", counted("unit")).select(
+        "doc_id", "n_sentences", "sentence_id", "unit", "terms", of_common("terms").alias("_summary_tf")
     )
 
 
