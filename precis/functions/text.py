@@ -12,6 +12,7 @@ from precis import fixed_values as fixed
 # Unicode whitespace as a pattern class (Java's ``\s`` is ASCII only) and as characters.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+NOT_BLANK_SPACE = r"[\t-\r\x1C-\x1F\x85\p{Z}&&[^ ]]"  # all of SPACE but the blank
 SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
     map(chr, range(0x2000, 0x200B))
 ) + "\u2028\u2029\u202f\u205f\u3000"
@@ -49,8 +50,8 @@ def _empty_strings() -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    """Every run of whitespace becomes one space; both ends are stripped."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Every run of whitespace becomes one space; both ends are stripped. Runs that are one space stay as they are."""
+    return F.trim(F.regexp_replace(text, f"{NOT_BLANK_SPACE}{SPACE}*| {SPACE}+", " "))
 
 
 def strip_space(text: Column) -> Column:
@@ -94,7 +95,7 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS
     is blanked in the input first, so that a text that happens to hold it is not cut there.
     """
     marked = F.regexp_replace(
-        F.translate(text, _BREAK, " "), rf"""([.!?]["')\]]*)({SPACE}+)""", f"$1{_BREAK}$2"
+        F.replace(text, F.lit(_BREAK), F.lit(" ")), rf"""([.!?]["')\]]*)({SPACE}+)""", f"$1{_BREAK}$2"
     )
     pieces = F.split(marked, _BREAK)
     if abbreviations:
