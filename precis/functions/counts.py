@@ -38,19 +38,3 @@ def runs_to_counts(sorted_tokens: Column, starts: Column) -> Column:
             (F.coalesce(F.get(starts, j + 1), end) - s).alias("tf"),
         ),
     )
-
-
-def numbered(counts: Column) -> Column:
-    """Repeat each term ``tf`` times as ``term#1 .. term#tf``.
-
-    The plain set intersection of two such arrays is the clipped (multiset) overlap of the bags.
-    """
-    return F.flatten(
-        F.transform(
-            counts,
-            lambda c: F.transform(
-                F.sequence(F.lit(1), c["tf"]),
-                lambda k: F.concat(c["term"], F.lit("#"), k.cast("string")),
-            ),
-        )
-    )

@@ -30,21 +30,16 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     shared = set(a) & set(b)
     if not shared:
         return 0
-    a = [t for t in a if t in shared]
-    b = [t for t in b if t in shared]
+    return length_of_shared([t for t in a if t in shared], [t for t in b if t in shared])
+
+
+def length_of_shared(a: list, b: list) -> int:
+    """The same for sequences without any token that only one side has."""
     if len(a) > len(b):
         a, b = b, a
     return _length(_masks(a), len(a), b)
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_text(left: pd.Series, right: pd.Series) -> pd.Series:
-    """LCS length of two texts of space-separated tokens."""
-    return pd.Series(
-        [lcs_length(a.split(), b.split()) for a, b in zip(left, right)], dtype="int32"
-    )
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def lcs_lines(lines: pd.Series, reference: pd.Series) -> pd.Series:
     """LCS length of every line of a text with one reference, whose bit masks are built once."""

@@ -1,7 +1,7 @@
 """ROUGE-1, ROUGE-2 and ROUGE-L of text pairs.
 
-Both texts of a pair sit in one row, so nothing is exploded or shuffled: n-gram overlap is an array
-intersection in the JVM, and only the longest common subsequence enters a Python worker.
+Both texts of a pair sit in one row, so nothing is exploded or shuffled: n-gram overlaps and longest common
+subsequences are counted by Arrow batches (``functions.overlaps``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.functions import counts, lcs, stemming, text
+from precis.functions import lcs, overlaps, stemming, text
 
 METRICS = ("rouge1", "rouge2", "rougeL")
 
@@ -24,25 +24,6 @@ def prf(overlap: Column, n_candidate: Column, n_reference: Column) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), f.alias("f"))
 
 
-def _bag(tokens: Column, n: int) -> Column:
-    """Numbered n-grams of space-separated tokens."""
-    words = text.words(tokens)
-    return counts.numbered(counts.term_counts(text.bigrams(words) if n == 2 else words))
-
-
-def _bag_scores(bags: Column) -> Column:
-    overlap = F.size(F.array_intersect(bags["r"], bags["c"]))
-    return text.let(
-        F.struct(overlap.alias("o"), F.size(bags["c"]).alias("c"), F.size(bags["r"]).alias("r")),
-        lambda n: prf(n["o"], n["c"], n["r"]),
-    )
-
-
-def tokenized(df: DataFrame, column: str, name: str, stem: bool) -> DataFrame:
-    plain = text.rouge_text(F.coalesce(F.col(column), F.lit("")))
-    return df.withColumn(name, stemming.stem_text(plain) if stem else plain)
-
-
 def score_pairs(
     pairs: DataFrame,
     candidate: str = "text",
@@ -54,18 +35,16 @@ def score_pairs(
 
     A null text counts as empty, so all its scores are 0.
     """
-    keep = pairs.columns
-    df = tokenized(pairs, candidate, "_c", stem)
-    df = tokenized(df, reference, "_r", stem)
-    for metric, n in (("rouge1", 1), ("rouge2", 2)):
+    texts = [text.rouge_text(F.coalesce(F.col(c), F.lit(""))) for c in (candidate, reference)]
+    df = pairs.withColumn("_common", overlaps.common(tuple(metrics), stem)(*texts))
+    n, n_reference = F.col("_common.n"), F.col("_common.n_reference")
+    # A text of n tokens has n - 1 bigrams, the empty one none.
+    pairs_of = lambda count: F.greatest(count - 1, F.lit(0))
+    for metric in METRICS:
         if metric in metrics:
-            bags = F.struct(_bag(F.col("_c"), n).alias("c"), _bag(F.col("_r"), n).alias("r"))
-            df = df.withColumn(metric, text.let(bags, _bag_scores))
-    if "rougeL" in metrics:
-        df = df.withColumn("_lcs", lcs.lcs_text("_c", "_r"))
-        lengths = [text.token_count(F.col(c)) for c in ("_c", "_r")]
-        df = df.withColumn("rougeL", prf(F.col("_lcs"), *lengths))
-    return df.select(*keep, *metrics)
+            sizes = (pairs_of(n), pairs_of(n_reference)) if metric == "rouge2" else (n, n_reference)
+            df = df.withColumn(metric, prf(F.col(f"_common.{metric}"), *sizes))
+    return df.select(*pairs.columns, *metrics)
 
 
 def score_systems(
