@@ -101,24 +101,31 @@ def _slices(candidates: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+COUNTS = {"rouge1": _Pairs.overlap1, "rouge2": _Pairs.overlap2, "rougeL": _Pairs.subsequence}
+
+
+def counts(batches: Iterator[tuple[pa.Array, pa.Array]], metrics: list[str], stem: bool) -> Iterator[pa.Array]:
+    """See :func:`common`; a task stems each word once."""
+    stems = stemming.Stems() if stem else None
+    kind = pa.struct([(n, pa.int32()) for n in ("n", "n_reference", *metrics)])
+    for candidates, references in batches:
+        parts = [pa.array([], kind)]
+        for start, size in _slices(candidates):
+            pairs = _Pairs(candidates.slice(start, size), references.slice(start, size), stems)
+            values = [*pairs.lengths(), *(COUNTS[m](pairs) for m in metrics)]
+            parts.append(pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in values], fields=list(kind)))
+        yield pa.concat_arrays(parts)
+
+
 def common(metrics: tuple[str, ...], stem: bool) -> Callable:
     """UDF of two texts of space-separated tokens: tokens of each side, and what they have in common by metric.
 
-    ``stem`` compares the stems of the tokens; a task stems each word once.
+    ``stem`` compares the stems of the tokens.
     """
-    columns = {"rouge1": _Pairs.overlap1, "rouge2": _Pairs.overlap2, "rougeL": _Pairs.subsequence}
-    names = [m for m in columns if m in metrics]
+    names = [m for m in COUNTS if m in metrics]
 
     @F.arrow_udf(", ".join(f"{n} int" for n in ("n", "n_reference", *names)))
     def counted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        stems = stemming.Stems() if stem else None
-        kind = pa.struct([(n, pa.int32()) for n in ("n", "n_reference", *names)])
-        for candidates, references in batches:
-            parts = [pa.array([], kind)]
-            for start, size in _slices(candidates):
-                pairs = _Pairs(candidates.slice(start, size), references.slice(start, size), stems)
-                values = [*pairs.lengths(), *(columns[m](pairs) for m in names)]
-                parts.append(pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in values], fields=list(kind)))
-            yield pa.concat_arrays(parts)
+        return counts(batches, names, stem)
 
     return counted
