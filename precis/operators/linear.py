@@ -10,6 +10,9 @@ one scan of two numbers per row compares all step lengths.
 
 Every step is four jobs whatever the number of terms and rows. The rows are bucketed by their key, so
 that a step shuffles sums per row and per term, and whole rows never.
+
+Up to ``MOST_PARAMETERS`` terms the same steps are taken on numbered rows: every task holds the parameters, and a step is
+one pass for the step length and one for the gradient, of which each task hands on one partial sum.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis import fixed_values as fixed
-from precis.functions import text
-from precis.operators import features, models
+from precis.functions import lookup, margins as numbered_margins, network, text
+from precis.operators import features, lookups, models
 from precis.sources import store
 
 KEY = features.ROW_KEY
 INTERCEPT = ""  # term of the intercept; no token is empty
+MOST_PARAMETERS = 1 << 22  # of a model that every task holds; the search keeps thirteen numbers for each
 _MEMORY = 5
 _STEPS = [2.0**k for k in range(6, -15, -1)]
 
@@ -40,6 +45,8 @@ class Loss:
 
     value: Callable[[Column, Column], Column]
     slope: Callable[[Column, Column], Column]
+    value_of: Callable[[np.ndarray, np.ndarray], np.ndarray]  # the same two for arrays
+    slope_of: Callable[[np.ndarray, np.ndarray], np.ndarray]
     curvature: float
     balanced: bool  # classes weigh the same in total
     penalized_intercept: bool
@@ -55,8 +62,13 @@ def _log_loss(z: Column, label: Column) -> Column:
 
 
 LOSSES = {
-    "logistic": Loss(_log_loss, lambda z, label: _sigmoid(z) - label, 0.25, True, True),
-    "squared": Loss(lambda z, label: (z - label) * (z - label) / 2, lambda z, label: z - label, 1.0, False, False),
+    "logistic": Loss(
+        _log_loss, lambda z, label: _sigmoid(z) - label, numbered_margins.log_loss, numbered_margins.log_slope, 0.25, True, True
+    ),
+    "squared": Loss(
+        lambda z, label: (z - label) * (z - label) / 2, lambda z, label: z - label,
+        numbered_margins.squared_loss, numbered_margins.squared_slope, 1.0, False, False,
+    ),
 }
 
 
@@ -76,6 +88,7 @@ class LinearModel:
     n_steps: int
     start: float
     end: float
+    unique: bool = False  # no two rows have one key
 
 
 def weighted_rows(labeled: DataFrame, stop_words: list[str], balanced: bool) -> tuple[DataFrame, DataFrame]:
@@ -92,6 +105,13 @@ def weighted_rows(labeled: DataFrame, stop_words: list[str], balanced: bool) ->
         counted = models.with_class_weight(counted).withColumnRenamed("weight", "c")
     else:
         counted = counted.withColumn("c", F.lit(1.0))
+    known = lookups.shared(idf, "idf")
+    if known is not None and _unique(counted):
+        @F.arrow_udf("array<struct<term: string, x: double>>")
+        def weighted(terms: pa.Array) -> pa.Array:
+            return lookup.weighted(terms, *known.value)
+
+        return store.bucketed(counted.withColumn("terms", weighted("terms")).select(*KEY, "label", "c", "terms"), "rows", *KEY), idf
     gathered = features.weights(counted, idf).groupBy(*KEY).agg(
         F.collect_list(F.struct("term", F.col("weight").alias("x"))).alias("terms")
     )
@@ -100,6 +120,79 @@ def weighted_rows(labeled: DataFrame, stop_words: list[str], balanced: bool) ->
     return store.bucketed(rows, "rows", *KEY), idf
 
 
+def _unique(rows: DataFrame) -> bool:
+    return rows.groupBy(*KEY).count().where("count > 1").isEmpty()
+
+
+def _numbered(rows: DataFrame, terms: DataFrame, *values: str) -> tuple[DataFrame, Broadcast] | None:
+    """Written rows ``label, c, at, x`` and the numbered terms with their ``values``; None if there are too many."""
+    if terms.count() > MOST_PARAMETERS or (known := lookups.shared(terms, *values)) is None:
+        return None
+
+    @F.arrow_udf("at array<int>, x array<double>")
+    def places(terms: pa.Array) -> pa.Array:
+        return numbered_margins.numbered(terms, known.value[0])
+
+    found = rows.select("label", "c", places("terms").alias("_t")).select("label", "c", "_t.*")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return store.staged(found, "numbered").coalesce(cores), known
+
+
+def _summed_chunks(rows: DataFrame, parameters: np.ndarray, *how) -> np.ndarray:
+    shared = rows.sparkSession.sparkContext.broadcast(parameters)
+    kind = "at int, part array<double>"
+    parts = rows.mapInArrow(numbered_margins.gradients(shared, *how), kind)
+    found = parts.groupBy("at").applyInArrow(network.chunk_sum, kind).toArrow().sort_by("at")
+    shared.destroy()
+    return found["part"].combine_chunks().flatten().to_numpy()
+
+
+def _penalties(size: int, penalty: float, loss: Loss) -> np.ndarray:
+    found = np.full(size, penalty)
+    if not loss.penalized_intercept:
+        found[-1] = 0.0
+    return found
+
+
+def _step_of_numbered(rows: DataFrame, w: np.ndarray, d: np.ndarray, penalty: np.ndarray, loss: Loss) -> float | None:
+    """:func:`_best_step` for parameters and direction as arrays."""
+    steps = [0.0, *_STEPS]
+    shared = rows.sparkSession.sparkContext.broadcast((w, d))
+    found = rows.mapInArrow(numbered_margins.losses(shared, steps, loss.value_of), "at int, total double").groupBy("at").agg(
+        F.sum("total").alias("total")
+    ).collect()
+    shared.destroy()
+    ww, wd, dd = penalty @ (w * w), penalty @ (w * d), penalty @ (d * d)
+    values = {steps[r["at"]]: r["total"] + ww / 2 + steps[r["at"]] * wd + steps[r["at"]] ** 2 * dd / 2 for r in found}
+    best = min(_STEPS, key=values.get)
+    return best if values[best] < values[0.0] else None
+
+
+def _fit_numbered(
+    rows: DataFrame, size: int, loss: Loss, penalty: float, max_iter: int, tolerance: float
+) -> tuple[np.ndarray, int, float, float]:
+    """The parameters, steps and lengths of the gradient: the steps of :func:`fit` with arrays in place of columns."""
+    penalties = _penalties(size, penalty, loss)
+    first = _summed_chunks(rows, np.zeros(size), loss.slope_of, loss.curvature)
+    scale = 1.0 / np.sqrt(first[size:] + penalties)
+    w, g = np.zeros(size), first[:size] * scale
+    s, y, steps, start = [], [], 0, float(np.linalg.norm(first[:size]))
+    length = start
+    while length > tolerance * start and steps < max_iter:
+        basis = [*s, *y, g]
+        coefficients = direction(np.array([[a @ b for b in basis] for a in basis]), len(s))
+        d = sum(a * b for a, b in zip(coefficients, basis))
+        step = _step_of_numbered(rows, w * scale, d * scale, penalties, loss)
+        if step is None:
+            break
+        w = w + step * d
+        after = _summed_chunks(rows, w * scale, loss.slope_of) * scale + scale * scale * penalties * w
+        s, y = [*s, step * d][-_MEMORY:], [*y, after - g][-_MEMORY:]
+        g, steps = after, steps + 1
+        length = float(np.linalg.norm(g / scale))
+    return w * scale, steps, start, length
+
+
 def _entries(rows: DataFrame, *carry: str) -> DataFrame:
     """One row per term; a row without terms has a placeholder that is no term and differs by document."""
     found = rows.select(*KEY, *carry, F.explode_outer(text.whole(F.col("terms"))).alias("_t"))
@@ -217,6 +310,18 @@ def fit(
     rows, idf = weighted_rows(labeled, stop_words, kind.balanced)
     if rows.isEmpty():
         raise ValueError("training needs rows")
+    unique = _unique(rows)
+    if unique and (found := _numbered(rows, idf, "idf")) is not None:
+        places, known = found
+        fitted, steps, start, length = _fit_numbered(places, len(known.value[0]) + 1, kind, penalty, max_iter, tolerance)
+        shared = rows.sparkSession.sparkContext.broadcast(fitted)
+
+        @F.arrow_udf("double")
+        def parameter(terms: pa.Array) -> pa.Array:
+            return pa.array(shared.value[lookup.places(known.value[0], terms)])
+
+        terms = store.staged(idf.select("term", parameter("term").alias("w"), "idf"), "parameters")
+        return LinearModel(loss, penalty, terms, float(fitted[-1]), rows, stop_words, steps, start, length, unique)
     state = store.staged(_at_zero(rows, kind, penalty), "parameters")
     share = F.col("scale") * F.col("scale") * _penalized(state, penalty, kind)
     k = steps = 0
@@ -257,13 +362,17 @@ def fit(
         ), "parameters")
         steps += 1
     return LinearModel(
-        loss, penalty, state.select("term", (F.col("w") * F.col("scale")).alias("w")).join(idf, "term"), at["w"], rows, stop_words, steps, start, length
+        loss, penalty, state.select("term", (F.col("w") * F.col("scale")).alias("w")).join(idf, "term"), at["w"], rows, stop_words, steps, start, length, unique
     )
 
 
 def gradient_length(model: LinearModel) -> float:
     """Length of the gradient at the model, from its parameters and the training rows alone."""
     kind = LOSSES[model.loss]
+    if model.unique and (found := _numbered(model.rows, model.terms, "w")) is not None:
+        places, known = found
+        w = np.append(known.value[1], model.intercept)
+        return float(np.linalg.norm(_summed_chunks(places, w, kind.slope_of) + _penalties(len(w), model.penalty, kind) * w))
     found = _margins(model.rows, model.terms.select("term", "w"), {"w": model.intercept})
     slopes = store.staged(
         found.select(*KEY, (F.col("c") * kind.slope(F.col("w"), F.col("label"))).alias("r")), "slopes"
@@ -280,14 +389,10 @@ def score(model: LinearModel, sentences: DataFrame) -> DataFrame:
     The score is the probability of label 1 for the logistic loss, the fitted value for the squared one.
     """
     counted = features.with_term_counts(sentences, "sentence", model.stop_words)
-    rows = counted.select(*KEY, F.explode_outer("terms").alias("_t")).select(
-        *KEY, F.coalesce("_t.term", F.concat(F.lit("#"), F.col("doc_id").cast("string"))).alias("term"), "_t.tf"
-    )
-    raw = F.col("tf") * F.col("idf")
-    sums = rows.join(model.terms, "term", "left").groupBy(*KEY).agg(
-        F.sum(raw * F.col("w")).alias("_sum"), F.sqrt(F.sum(raw * raw)).alias("_norm")
+    sums = lookups.row_sums(counted, model.terms, "w").groupBy(*KEY).agg(
+        F.sum("_s").alias("_sum"), F.sqrt(F.sum("_q")).alias("_norm")
     )
-    z = F.coalesce(F.col("_sum") / F.col("_norm"), F.lit(0.0)) + F.lit(model.intercept)
+    z = F.when(F.col("_norm") > 0, F.col("_sum") / F.col("_norm")).otherwise(F.lit(0.0)) + F.lit(model.intercept)
     if model.loss == "logistic":
         return sums.select(*KEY, _sigmoid(z).alias("score"), (z > 0).cast("int").alias("prediction"))
     return sums.select(*KEY, z.alias("score"), (z >= fixed.LINREG_THRESHOLD).cast("int").alias("prediction"))
